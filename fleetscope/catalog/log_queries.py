@@ -133,7 +133,7 @@ def _cluster_log(t: Tables):
 @query(
     "keyspace_patterns",
     "P2",
-    """SELECT pattern, count(*) AS n FROM (SELECT array_to_string(list_transform(regexp_split_to_array(key, '[:._-]'), x ->
+    """SELECT pattern, count(*) AS n FROM (SELECT array_to_string(list_transform(regexp_split_to_array(key, '[:._-]'), lambda x:
     CASE WHEN regexp_full_match(x, '[0-9]+') OR regexp_full_match(x, '[0-9a-fA-F]{24}') OR regexp_full_match(x, '[0-9a-fA-F]{32,}')
     THEN '*' ELSE x END), ':') AS pattern FROM v_key) GROUP BY 1""",
 )
