@@ -62,7 +62,7 @@ def _ttl(t: Tables):
     return K.ttl_distribution(t.key)
 
 
-_COUNTS = """c AS (SELECT connection_id, count(*) AS s, count(*) FILTER (order_key % 10 <> 0) AS t FROM v_key GROUP BY 1)"""
+_COUNTS = """c AS (SELECT connection_id, count(*) AS s, count(*) FILTER (idle_s < 90000) AS t FROM v_key GROUP BY 1)"""
 
 
 @query(
@@ -72,7 +72,7 @@ _COUNTS = """c AS (SELECT connection_id, count(*) AS s, count(*) FILTER (order_k
     false AS stale_target FROM c""",
 )
 def _counts(t: Tables):
-    return K.key_count_comparison(t.key, t.key.where(F.col("order_key") % 10 != 0))
+    return K.key_count_comparison(t.key, t.key.where(F.col("idle_s") < 90_000))
 
 
 @query(
@@ -82,7 +82,7 @@ def _counts(t: Tables):
     FROM v_key k JOIN c USING (connection_id) GROUP BY 1,2""",
 )
 def _types(t: Tables):
-    totals = K.key_count_comparison(t.key, t.key.where(F.col("order_key") % 10 != 0))
+    totals = K.key_count_comparison(t.key, t.key.where(F.col("idle_s") < 90_000))
     return K.type_estimates(t.key, totals)
 
 
