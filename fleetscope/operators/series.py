@@ -40,18 +40,18 @@ def with_previous(
     """``lag(src)`` per key as ``out`` for each ``{out: src}``; the first order column is the time."""
     sliced = df.withColumn(SLICE, slice_by if slice_by is not None else time_slice(order[0], width))
     payload = F.struct(*[F.col(src).alias(out) for out, src in columns.items()])
-    tails = sliced.groupBy(*keys, SLICE).agg(F.max_by(payload, F.struct(*order)).alias("_tail"))
+    tails = sliced.groupBy(*keys, SLICE).agg(F.max_by(payload, F.struct(*order)).alias("__tail"))
     borders = tails.select(
-        *keys, SLICE, F.lag("_tail").over(Window.partitionBy(*keys).orderBy(SLICE)).alias("_carry")
+        *keys, SLICE, F.lag("__tail").over(Window.partitionBy(*keys).orderBy(SLICE)).alias("__carry")
     )
     inside = _ordered(keys, order)
     return (
-        sliced.withColumn("_rn", F.row_number().over(inside))
-        .withColumn("_prev", F.lag(payload).over(inside))
+        sliced.withColumn("__rn", F.row_number().over(inside))
+        .withColumn("__prev", F.lag(payload).over(inside))
         .join(borders, [*keys, SLICE], "left")
-        .withColumn("_prev", F.when(F.col("_rn") == 1, F.col("_carry")).otherwise(F.col("_prev")))
-        .withColumns({out: F.col(f"_prev.{out}") for out in columns})
-        .drop("_rn", "_prev", "_carry", SLICE)
+        .withColumn("__prev", F.when(F.col("__rn") == 1, F.col("__carry")).otherwise(F.col("__prev")))
+        .withColumns({out: F.col(f"__prev.{out}") for out in columns})
+        .drop("__rn", "__prev", "__carry", SLICE)
     )
 
 
@@ -174,8 +174,9 @@ def over_trailing_range(
     span: int,
     aggregates: Mapping[str, Column],
     inclusive: bool = True,
+    until: int = 0,
 ) -> DataFrame:
-    """Aggregates over rows of the key with time in ``[ts - span, ts]`` (half-open if not inclusive).
+    """Aggregates over rows of the key with time in ``[ts - span, ts - until]`` (open at the start if not inclusive).
 
     Slices are ``span`` wide (at least an hour); rows near the end of a slice are copied to the next.
     """
@@ -186,7 +187,7 @@ def over_trailing_range(
         "_chunk", F.explode(F.when(in_halo, F.array(own, own + 1)).otherwise(F.array(own)))
     )
     low = -span if inclusive else -(span - 1)
-    frame = Window.partitionBy(*keys, "_chunk").orderBy(ts).rangeBetween(low, 0)
+    frame = Window.partitionBy(*keys, "_chunk").orderBy(ts).rangeBetween(low, -until)
     return (
         chunked.withColumns({out: agg.over(frame) for out, agg in aggregates.items()})
         .where(F.col("_chunk") == F.col("_own"))
