@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.catalog.registry import query
 from fleetscope.catalog.views import ORIGIN_MS, Tables
-from fleetscope.functions.scoring import cosine_distance
+from fleetscope.functions.scoring import cosine_distance, token_set
 from fleetscope.operators import knn as N
 from fleetscope.operators import memory as M
 from fleetscope.operators import semantic as S
@@ -110,9 +110,9 @@ _BLEND = "CAST(0.7 AS DOUBLE)*(1-distance) + CAST({w} AS DOUBLE)*CASE WHEN len(q
 )
 def _rerank(t: Tables):
     near = N.knn(queries(t), entries(t), 8)
-    q = texts(t).select(F.col("vec_id").alias("query_id"), F.col("text").alias("query_text"))
-    e = texts(t).select(F.col("vec_id").alias("entry_id"), F.col("text").alias("entry_text"))
-    picked = S.rerank_keyword(near.join(q, "query_id").join(e, "entry_id"), "query_text", "entry_text")
+    q = texts(t).select(F.col("vec_id").alias("query_id"), token_set(F.col("text")).alias("query_tokens"))
+    e = texts(t).select(F.col("vec_id").alias("entry_id"), token_set(F.col("text")).alias("entry_tokens"))
+    picked = S.rerank_keyword(near.join(q, "query_id").join(e, "entry_id"), "query_tokens", "entry_tokens")
     return picked.withColumns({c: F.round(c, 6) for c in ("score", "distance", "gate_distance")})
 
 

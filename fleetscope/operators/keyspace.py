@@ -16,8 +16,8 @@ def js_round(value: Column) -> Column:
 def key_pattern_snapshot(keys: DataFrame, databases: DataFrame) -> DataFrame:
     """Per (connection, pattern) estimates scaled from the scanned keys to the whole database.
 
-    Keys are first reduced per access-frequency value, so the second pass (above and
-    below the pattern's mean frequency) runs over those few rows and not over keys.
+    Keys are first reduced per access-frequency value (an eight-bit counter), so comparing with
+    the pattern's mean frequency runs over at most a few hundred rows per pattern and not over keys.
     ``databases`` has (connection_id, scanned, db_size).
     """
     has_ttl = F.col("ttl_s") > 0
@@ -36,11 +36,9 @@ def key_pattern_snapshot(keys: DataFrame, databases: DataFrame) -> DataFrame:
             F.count_if(has_ttl & (F.col("ttl_s") < 3600)).alias("soon"),
         )
     )
-    freq_n = F.sum(F.when(F.col("freq").isNotNull(), F.col("c")))
-    means = reduced.groupBy("connection_id", "pattern").agg(
-        (F.sum(F.col("freq") * F.col("c")) / freq_n).alias("avg_freq")
-    )
-    joined = reduced.join(means, ["connection_id", "pattern"])
+    whole = Window.partitionBy("connection_id", "pattern")
+    freq_n = F.sum(F.when(F.col("freq").isNotNull(), F.col("c"))).over(whole)
+    joined = reduced.withColumn("avg_freq", F.sum(F.col("freq") * F.col("c")).over(whole) / freq_n)
     stats = joined.groupBy("connection_id", "pattern").agg(
         F.sum("c").alias("sampled"),
         F.sum("mem").alias("mem"),

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetscope.functions.scoring import confidence, overlap, token_set, token_set_ascii
+from fleetscope.functions.scoring import confidence, overlap
 from fleetscope.operators.knn import knn
 from fleetscope.operators.quantiles import Quantile, exact_quantiles
 
@@ -65,15 +65,16 @@ def cache_lookup(
 
 
 def rerank_keyword(
-    candidates: DataFrame, query_text: str, candidate_text: str, weight: float = 0.7
+    candidates: DataFrame, query_tokens: str, candidate_tokens: str, weight: float = 0.7
 ) -> DataFrame:
     """Best candidate per query by blended similarity and word overlap; the first best wins.
 
     The hit gate stays with the top-1 distance, which is returned beside the pick.
-    ``candidates`` has (query_id, entry_id, distance, rank) and both texts.
+    ``candidates`` has (query_id, entry_id, distance, rank) and the token sets of both texts,
+    made once per text.
     """
     blended = F.lit(weight) * (F.lit(1.0) - F.col("distance")) + F.lit(1.0 - weight) * overlap(
-        token_set(F.col(query_text)), token_set(F.col(candidate_text))
+        F.col(query_tokens), F.col(candidate_tokens)
     )
     scored = candidates.withColumn("score", blended)
     return scored.groupBy("query_id").agg(
@@ -84,10 +85,13 @@ def rerank_keyword(
     )
 
 
-def hybrid_rerank(pool: DataFrame, query_text: str, text: str, weight: float = 0.7) -> DataFrame:
-    """Reorder each query's pool by dense similarity and word overlap: adds score and position."""
+def hybrid_rerank(pool: DataFrame, query_tokens: str, tokens: str, weight: float = 0.7) -> DataFrame:
+    """Reorder each query's pool by dense similarity and word overlap: adds score and position.
+
+    The token columns are sets made once per text, before texts meet in pools.
+    """
     blended = F.lit(weight) * (F.lit(1.0) - F.col("distance")) + F.lit(1.0 - weight) * overlap(
-        token_set_ascii(F.col(query_text)), token_set_ascii(F.col(text))
+        F.col(query_tokens), F.col(tokens)
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "rank")  # over one small pool
     return pool.withColumn("score", blended).withColumn("position", F.row_number().over(order).cast("bigint"))

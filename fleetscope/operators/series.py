@@ -110,8 +110,12 @@ def with_last_known(
     columns: Mapping[str, str],
     width: int = HOUR_MS,
     slice_by: Column | None = None,
+    before: bool = False,
 ) -> DataFrame:
-    """Last non-null value at or before the row: the backward as-of join of a union."""
+    """Last non-null value at or before the row (only before it on request).
+
+    Over the union of two series this is the backward as-of join.
+    """
     sliced = df.withColumn(SLICE, slice_by if slice_by is not None else time_slice(order[0], width))
     lasts = sliced.groupBy(*keys, SLICE).agg(
         *[
@@ -119,13 +123,13 @@ def with_last_known(
             for out, src in columns.items()
         ]
     )
-    before = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carried = lasts.select(
         *keys,
         SLICE,
-        *[F.last(f"_l_{out}", ignorenulls=True).over(before).alias(f"_c_{out}") for out in columns],
+        *[F.last(f"_l_{out}", ignorenulls=True).over(earlier).alias(f"_c_{out}") for out in columns],
     )
-    upto = _ordered(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    upto = _ordered(keys, order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     return (
         sliced.withColumns(
             {f"_i_{o}": F.last(src, ignorenulls=True).over(upto) for o, src in columns.items()}
@@ -136,6 +140,32 @@ def with_last_known(
     )
 
 
+def with_streak(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, out: str, width: int = DAY_MS
+) -> DataFrame:
+    """Length of the run of rows ending here on which the flag holds (zero where it does not)."""
+    slices = [*keys, SLICE]
+    sliced = df.withColumn(SLICE, time_slice(order[0], width)).withColumn("__f", F.coalesce(flag, F.lit(False)))
+    upto = _ordered(keys, order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = sliced.withColumn("__n", F.row_number().over(_ordered(keys, order))).withColumn(
+        "__off", F.max(F.when(~F.col("__f"), F.col("__n"))).over(upto)
+    )
+    # Run at the end of each slice; it goes on through slices on which the flag always holds.
+    ends = inside.groupBy(*slices).agg(F.max("__n").alias("__rows"), F.max("__off").alias("__last"))
+    breaks = F.sum(F.col("__last").isNotNull().cast("int")).over(Window.partitionBy(*keys).orderBy(SLICE))
+    tail = F.col("__rows") - F.coalesce("__last", F.lit(0))
+    grown = ends.withColumn("__g", breaks).withColumn("__end", F.sum(tail).over(Window.partitionBy(*keys, "__g").orderBy(SLICE)))
+    carried = grown.select(*slices, F.lag("__end").over(Window.partitionBy(*keys).orderBy(SLICE)).alias("__carry"))
+    run = F.when(F.col("__off").isNotNull(), F.col("__n") - F.col("__off")).otherwise(
+        F.col("__n") + F.coalesce("__carry", F.lit(0))
+    )
+    return (
+        inside.join(carried, slices, "left")
+        .withColumn(out, run.cast("bigint"))
+        .drop(SLICE, "__f", "__n", "__off", "__carry")
+    )
+
+
 def over_trailing_rows(
     df: DataFrame,
     keys: Sequence[str],

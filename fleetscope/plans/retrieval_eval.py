@@ -7,14 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetscope.functions.scoring import cosine_distance, token_set_ascii
 from fleetscope.operators import memory, semantic
 from fleetscope.operators.knn import knn
 
 
 def replay_pairs(pairs: DataFrame) -> DataFrame:
     """Paired replay: prompt b looks up the entry of prompt a alone. (pair_id, a, b embeddings, expected)."""
-    from fleetscope.functions.scoring import cosine_distance
-
     return pairs.select("pair_id", "expected", cosine_distance(F.col("embedding_b"), F.col("embedding_a")).alias("distance"))
 
 
@@ -43,10 +42,12 @@ def rerank_pool(questions: DataFrame, chunks: DataFrame, pool: int) -> DataFrame
     ``questions`` has (query_id, embedding, text); ``chunks`` (entry_id, embedding, text, session_id, day).
     """
     near = knn(questions, chunks, pool)
-    details = chunks.select("entry_id", F.col("text").alias("chunk_text"), "session_id", "day")
-    texts = questions.select("query_id", F.col("text").alias("question_text"))
-    joined = near.join(details, "entry_id").join(texts, "query_id")
-    return semantic.hybrid_rerank(joined, "question_text", "chunk_text")
+    details = chunks.select(
+        "entry_id", token_set_ascii(F.col("text")).alias("_chunk_tokens"), F.col("text").alias("chunk_text"), "session_id", "day"
+    )
+    asked = questions.select("query_id", token_set_ascii(F.col("text")).alias("_question_tokens"))
+    joined = near.join(details, "entry_id").join(asked, "query_id")
+    return semantic.hybrid_rerank(joined, "_question_tokens", "_chunk_tokens").drop("_question_tokens", "_chunk_tokens")
 
 
 def reading_contexts(ranked: DataFrame, asked: DataFrame, k: int, containment: float = 0.9) -> DataFrame:

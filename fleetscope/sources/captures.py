@@ -7,7 +7,11 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-HEADER = r'^([0-9.]+)\s+\[(\d+)\s+(.+?)\]\s+(".+)$'
+HEADER = r'^[0-9.]+\s+\[\d+\s+.+?\]\s+".+$'
+STAMP = r"^([0-9.]+)\s"
+DATABASE = r"^[0-9.]+\s+\[(\d+)\s"
+ADDRESS = r'^[0-9.]+\s+\[\d+\s+(.+?)\]\s+"'
+ARGUMENTS = r'^[0-9.]+\s+\[\d+\s+.+?\]\s+(".+)$'
 TOKEN = r'"((?:[^"\\]|\\.|\\$)*)(?:"|$)'
 LEADING_TOKENS = r'^((?:\s*"(?:[^"\\]|\\.|\\$)*(?:"|$))*)'
 EXPORT_COLUMNS = ("ts", "ts_raw", "db", "addr", "cmd", "args", "key")
@@ -47,19 +51,19 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def parse_capture(lines: DataFrame, column: str = "line") -> DataFrame:
     """Adds ts, ts_raw, db, addr, cmd, args, key; lines that do not parse are dropped."""
     line = F.col(column)
-    tail = F.regexp_extract(line, HEADER, 4)
+    tail = F.regexp_extract(line, ARGUMENTS, 1)
     run = F.regexp_extract(tail, LEADING_TOKENS, 1)
     tokens = F.transform(
-        F.regexp_extract_all(run, F.lit(TOKEN), F.lit(1)), lambda t: F.regexp_replace(t, r"\\(.)", "$1")
+        F.regexp_extract_all(run, F.lit(TOKEN), F.lit(1)), lambda t: F.when(t.contains("\\"), F.regexp_replace(t, r"\\(.)", "$1")).otherwise(t)
     )
-    raw = F.regexp_extract(line, HEADER, 1)
+    raw = F.regexp_extract(line, STAMP, 1)
     number = F.regexp_extract(raw, r"^(\d*\.?\d*)", 1).try_cast("double")
     parsed = lines.where(line.rlike(HEADER)).withColumn("_tokens", tokens).where(F.size("_tokens") > 0)
     return (
         parsed.withColumn("ts_raw", raw)
         .withColumn("ts", F.floor(number * 1000 + 0.5))
-        .withColumn("db", F.regexp_extract(line, HEADER, 2).cast("int"))
-        .withColumn("addr", F.regexp_extract(line, HEADER, 3))
+        .withColumn("db", F.regexp_extract(line, DATABASE, 1).cast("int"))
+        .withColumn("addr", F.regexp_extract(line, ADDRESS, 1))
         .withColumn("cmd", F.upper(F.col("_tokens")[0]))
         .withColumn("args", F.slice("_tokens", 2, F.size("_tokens")))
         .withColumn("key", F.get("args", F.lit(0)))

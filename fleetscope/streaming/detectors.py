@@ -23,6 +23,7 @@ from fleetscope.operators.series import (
     with_previous,
     with_row_index,
     with_running_sum,
+    with_streak,
 )
 from fleetscope.operators.timeseries import level_escalations, rolling_baseline
 from fleetscope.streaming import folds
@@ -218,16 +219,6 @@ def threshold_alerts(
     )
 
 
-def with_streak(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column, out: str) -> DataFrame:
-    """Length of the run of rows ending here on which the flag holds."""
-    marked = with_row_index(df.withColumn("_flag", flag), keys, order, "_i", DAY_MS)
-    broken = marked.withColumn("_off", F.when(~F.col("_flag"), F.col("_i")))
-    carried = with_last_known(broken, keys, order, {"_last_off": "_off"}, DAY_MS)
-    return carried.withColumn(out, F.col("_i") - F.coalesce("_last_off", F.lit(-1))).drop(
-        "_flag", "_i", "_off", "_last_off"
-    )
-
-
 def with_episode(df: DataFrame, keys: Sequence[str], order: Sequence[str], ends: Column, out: str) -> DataFrame:
     """Number of rows so far that end an episode: equal for all rows of one episode."""
     return with_running_sum(df, keys, order, {out: ends.cast("bigint")}, DAY_MS)
@@ -263,8 +254,7 @@ def client_lockout(polls: DataFrame, used_pct: float = 85.0, streak: int = 3) ->
     """
     keys = ["connection_id"]
     usable = polls.where(F.col("clients").isNotNull() & (F.col("max_clients") > 0))
-    known = with_last_known(usable, keys, POLL, {"_upto": "rejected"}, DAY_MS)
-    before = with_previous(known, keys, POLL, {"_base": "_upto"}, DAY_MS)
+    before = with_last_known(usable, keys, POLL, {"_base": "rejected"}, DAY_MS, before=True)
     refusing = F.coalesce(F.greatest(F.lit(0), F.col("rejected") - F.col("_base")), F.lit(0)) > 0
     high = F.col("clients") / F.col("max_clients") * 100 >= used_pct
     rated = with_streak(before.withColumn("_refusing", refusing), keys, POLL, high, "_streak")
@@ -513,8 +503,7 @@ def resync_loop(polls: DataFrame, min_ms: int = 300_000, cycles: int = 2) -> Dat
     down = F.col("role").isin("slave", "replica") & (F.col("link") == "down")
     outages = with_episode(polls.withColumn("_down", down), keys, POLL, ~down, "_outage").where("_down")
     span = [*keys, "_outage"]
-    known = with_last_known(outages, span, POLL, {"_upto": "down_s"}, DAY_MS)
-    before = with_previous(known, span, POLL, {"_base": "_upto", "_was": "syncing"}, DAY_MS)
+    before = with_last_known(outages, span, POLL, {"_base": "down_s", "_was": "syncing"}, DAY_MS, before=True)
     dropped = F.coalesce(F.col("down_s") < F.col("_base"), F.lit(False))
     windows = with_episode(before.withColumn("_cut", dropped), span, POLL, F.col("_cut"), "_window")
     inner = [*span, "_window"]
