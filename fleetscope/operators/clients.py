@@ -120,25 +120,27 @@ def client_spikes(clients: DataFrame, sensitivity: float = 2.0, bucket_minutes:
     The mean and deviation come from exact integer sums over one row per bucket.
     """
     buckets = activity_timeline(clients, bucket_minutes)
-    whole = Window.partitionBy()
 
-    def baseline(value: str, floor_factor: float) -> tuple[Column, Column, Column]:
-        # Exact integer sums: n*q exceeds 64 bits for byte gauges, so the product is a decimal.
+    def sums(value: str) -> Column:
+        # n*q exceeds 64 bits for byte gauges, so the products are decimals.
         wide = F.col(value).cast("decimal(18,0)")
-        n = F.count(F.lit(1)).over(whole).cast("decimal(10,0)")
-        s = F.sum(wide).over(whole)
-        q = F.sum((wide * wide).cast("decimal(26,0)")).over(whole)
-        spread = F.sqrt(
-            (n * q.cast("decimal(27,0)") - s.cast("decimal(19,0)") * s.cast("decimal(19,0)")).cast("double")
-        ) / n.cast("double")
+        square = (wide * wide).cast("decimal(26,0)")
+        return F.struct(
+            F.count(F.lit(1)).cast("decimal(10,0)").alias("n"), F.sum(wide).alias("s"), F.sum(square).alias("q")
+        )
+
+    totals = buckets.agg(F.struct(sums("connections").alias("c"), sums("max_omem").alias("b"))).scalar()
+
+    def baseline(t: Column, floor_factor: float) -> tuple[Column, Column]:
+        n, s, q = t["n"], t["s"].cast("decimal(19,0)"), t["q"].cast("decimal(27,0)")
         mean = s.cast("double") / n.cast("double")
-        return mean, spread, F.greatest(mean + spread * F.lit(sensitivity), mean * F.lit(floor_factor))
+        spread = F.sqrt((n * q - s * s).cast("double")) / n.cast("double")
+        return mean, F.greatest(mean + spread * F.lit(sensitivity), mean * F.lit(floor_factor))
 
-    c_mean, _, c_limit = baseline("connections", 1.5)
-    b_mean, _, b_limit = baseline("max_omem", 2.0)
-    rated = buckets.withColumns(
-        {"c_mean": c_mean, "c_limit": c_limit, "b_mean": b_mean, "b_limit": b_limit}
-    )
+    with_totals = buckets.withColumn("_t", totals)
+    c_mean, c_limit = baseline(F.col("_t.c"), 1.5)
+    b_mean, b_limit = baseline(F.col("_t.b"), 2.0)
+    rated = with_totals.withColumns({"c_mean": c_mean, "c_limit": c_limit, "b_mean": b_mean, "b_limit": b_limit})
     rows = F.array(
         F.struct(
             F.lit("connections").alias("metric"),

@@ -11,9 +11,9 @@ from fleetscope.operators.quantiles import Quantile, exact_quantiles
 from fleetscope.operators.series import (
     DAY_MS,
     HOUR_MS,
-    over_trailing_rows,
     with_previous,
     with_row_index,
+    with_trailing_sums,
 )
 
 # Rolling baseline size and readiness.
@@ -124,14 +124,8 @@ def rolling_baseline(
     turns units back into the reported measure.
     """
     value = F.col(units)
-    summed = over_trailing_rows(
-        df,
-        keys,
-        order,
-        rows,
-        {"_n": F.count(value), "_s": F.sum(value), "_q": F.sum(value * value)},
-        slice_ms,
-    )
+    one = F.lit(1).cast("bigint")
+    summed = with_trailing_sums(df, keys, order, rows, {"_n": one, "_s": value, "_q": value * value}, slice_ms)
     n, s, q = F.col("_n"), F.col("_s"), F.col("_q")
     mean = s / n
     spread = F.when(n < 2, 0.0).otherwise(F.sqrt((n * q - s * s).cast("double")) / n)

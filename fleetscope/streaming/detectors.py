@@ -548,15 +548,29 @@ def failover_churn(nodes: DataFrame) -> DataFrame:
     )
 
 
-def raft_health(polls: DataFrame) -> DataFrame:
-    """Election churn and leaderless outages. (connection_id, ts_ms, id, role, term, commit)."""
-    return fold_history(
-        polls.select("connection_id", *POLL, "role", "term", "commit"),
-        ["connection_id"],
-        POLL,
-        folds.raft_health(),
-        "ts_ms bigint, kind string, amount bigint",
-    )
+def raft_health(polls: DataFrame, churn_ms: int = MINUTE_MS, recovered_ms: int = 30_000) -> DataFrame:
+    """Election churn and leaderless outages. (connection_id, ts_ms, id, role, term, commit).
+
+    Only elections enter the first fold. The second is cut wherever the node leads or has not
+    been seeking for the recovery time, since no outage can be open after such a poll.
+    """
+    keys = ["connection_id"]
+    seeking = F.when(F.col("role").isin("candidate", "pre-candidate"), F.col("ts_ms"))
+    known = with_last_known(polls.withColumn("_s", seeking), keys, POLL, {"_seek": "_s"}, DAY_MS)
+    calm = F.col("_s").isNull() & F.coalesce(F.col("ts_ms") - F.col("_seek") >= recovered_ms, F.lit(True))
+    outages = fold_history(
+        known.select(*keys, *POLL, "role", "commit", "_s", "_seek"), keys, POLL, folds.leaderless(recovered_ms),
+        "ts_ms bigint, kind string, amount bigint", closes=(F.col("role") == "leader") | calm,
+    )
+    terms = with_previous(polls, keys, POLL, {"_term": "term"}, DAY_MS)
+    elections = terms.where(F.col("term") > F.col("_term")).select(*keys, *POLL)
+    gaps = with_previous(elections, keys, POLL, {"_prev": "ts_ms"}, DAY_MS)
+    far = F.coalesce(F.col("ts_ms") - F.col("_prev") > churn_ms, F.lit(True))
+    cut = with_episode(gaps, keys, POLL, far, "_cut").select(*keys, "_cut", *POLL)
+    churn = fold_history(
+        cut, [*keys, "_cut"], POLL, folds.election_churn(churn_ms), "ts_ms bigint, kind string, amount bigint"
+    ).drop("_cut")
+    return outages.unionByName(churn)
 
 
 def persistence_stall(polls: DataFrame, stall_s: int = 60, warn_s: int = 120, crit_s: int = 600) -> DataFrame:

@@ -137,19 +137,23 @@ def failover_churn(window_ms: int = 60_000, changes: int = 3, horizon_ms: int =
     return step
 
 
-def raft_health(
-    churn_ms: int = 60_000, elections: int = 3, recovered_ms: int = 30_000, fire_ms: int = 40_000
-):
-    """Election churn, and outages without a leader from first seeking until proof of quorum."""
+def election_churn(window_ms: int = 60_000, needed: int = 3):
+    """Enough elections inside the window; the counted ones are spent. Each row is one election."""
+
+    def step(state, row):
+        times = [t for t in state.get("times", []) if t >= row.ts_ms - window_ms] + [row.ts_ms]
+        state["times"] = times
+        if len(times) >= needed:
+            state["times"] = []
+            yield (row.ts_ms, "election_churn", len(times))
+
+    return step
+
+
+def leaderless(recovered_ms: int = 30_000, fire_ms: int = 40_000):
+    """Outages without a leader: from first seeking until a leader, commit progress or a quiet spell."""
 
     def step(state, row):
-        term = state.get("term")
-        state["term"] = row.term
-        changed = state.get("changed", []) + ([row.ts_ms] if term is not None and row.term > term else [])
-        state["changed"] = [t for t in changed if t >= row.ts_ms - churn_ms]
-        if len(state["changed"]) >= elections:
-            yield (row.ts_ms, "election_churn", len(state["changed"]))
-            state["changed"] = []
         seeking = row.role in ("candidate", "pre-candidate")
         if seeking:
             state["seek"] = row.ts_ms
@@ -159,7 +163,7 @@ def raft_health(
         if row.role == "leader" or progress or settled or (not seeking and since is None):
             if state.get("active"):
                 yield (row.ts_ms, "leader_recovered", 0)
-            state.update(since=None, commit=None, seek=None, active=False)
+            state.clear()
             return
         if since is None:
             since = state["since"] = row.ts_ms

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.operators.series import DAY_MS, with_running_sum
+from fleetscope.operators.series import DAY_MS, with_previous, with_running_sum
 
 Step = Callable[[dict, Any], Iterable[tuple]]
 
@@ -44,11 +44,23 @@ def fold_history(
     step: Step,
     out: str,
     reset: Column | None = None,
+    closes: Column | None = None,
     slice_ms: int = DAY_MS,
 ) -> DataFrame:
-    """Run a fold over all rows of each key in order; ``out`` names the emitted columns with types."""
+    """Run a fold over all rows of each key in order; ``out`` names the emitted columns with types.
+
+    ``reset`` rows leave the initial state and emit nothing: they only cut. ``closes`` rows leave the
+    initial state but may emit: they end their segment, and one that follows another is dropped.
+    """
     keys = list(keys)
     groups = keys
+    if closes is not None:
+        marked = df.withColumn("_closes", F.coalesce(closes, F.lit(False)))
+        seen = with_previous(marked, keys, order, {"_after": "_closes"}, slice_ms)
+        kept = seen.where(~(F.col("_closes") & F.coalesce("_after", F.lit(True))))
+        ended = with_running_sum(kept, keys, order, {"_seg": F.col("_closes").cast("bigint")}, slice_ms)
+        df = ended.withColumn("_seg", F.col("_seg") - F.col("_closes").cast("bigint")).drop("_closes", "_after")
+        groups = [*keys, "_seg"]
     if reset is not None:
         marked = df.withColumn("_reset", F.coalesce(reset, F.lit(False)).cast("bigint"))
         df = with_running_sum(marked, keys, order, {"_seg": "_reset"}, slice_ms).where(F.col("_reset") == 0).drop("_reset")
