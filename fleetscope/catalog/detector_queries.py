@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from fleetscope.catalog import walks
 from fleetscope.catalog.registry import query
 from fleetscope.catalog.series_queries import BASELINE
 from fleetscope.catalog.views import ORIGIN_MS, Tables
@@ -11,9 +12,9 @@ from fleetscope.streaming import detectors as D
 HOUR, DAY = 3_600_000, 86_400_000
 
 
-@query("spike_events", "T1")
+@query("spike_events", "T1", walks.spikes(BASELINE, 2, 6 * HOUR))
 def _spikes(t: Tables):
-    return D.spike_events(t.metric, D.SpikeConfig(consecutive=1, cooldown_ms=6 * HOUR), slice_ms=DAY)
+    return D.spike_events(t.metric, D.SpikeConfig(consecutive=2, cooldown_ms=6 * HOUR), slice_ms=DAY)
 
 
 @query(
@@ -111,7 +112,7 @@ def loop_polls(t: Tables):
     return t.metric.select("connection_id", "ts_ms", "id", (busy * 1e6).alias("usec_per_cycle"), F.lit(1.0).alias("cycles_per_sec"))
 
 
-@query("load_saturation", "T6")
+@query("load_saturation", "T6", walks.LOAD)
 def _load(t: Tables):
     return D.load_saturation(loop_polls(t))
 
@@ -179,7 +180,7 @@ def _pressure(t: Tables):
     return D.replica_buffer_pressure(buffers(t))
 
 
-@query("resync_after_pressure", "T9")
+@query("resync_after_pressure", "T9", walks.PRESSURE)
 def _resync(t: Tables):
     rows = buffers(t).where(F.col("id") % 5 != 4)
     syncs = t.metric.where(F.col("id") % 5 == 4).select(
@@ -188,7 +189,7 @@ def _resync(t: Tables):
     return D.resync_after_pressure(rows, syncs)
 
 
-@query("unexplained_resyncs", "T9")
+@query("unexplained_resyncs", "T9", walks.UNEXPLAINED)
 def _unexplained(t: Tables):
     syncs = t.metric.select(
         "connection_id", (F.col("ts_ms") / 60).cast("bigint").alias("ts_ms"), "id",
@@ -227,7 +228,7 @@ def _resync_loop(t: Tables):
     return D.resync_loop(polls)
 
 
-@query("failover_churn", "T12")
+@query("failover_churn", "T12", walks.CHURN)
 def _churn(t: Tables):
     i = F.col("id")
     claims = t.metric.select(
@@ -238,7 +239,7 @@ def _churn(t: Tables):
     return D.failover_churn(claims.withColumn("ts_ms", F.col("h") * 8_000).drop("h", "id"))
 
 
-@query("raft_health", "T13")
+@query("raft_health", "T13", walks.RAFT)
 def _raft(t: Tables):
     i = F.col("id")
     stage = F.floor(i / 80) % 5
@@ -250,7 +251,7 @@ def _raft(t: Tables):
     return D.raft_health(polls)
 
 
-@query("persistence_stall", "T14")
+@query("persistence_stall", "T14", walks.STALL)
 def _stall(t: Tables):
     i = F.col("id")
     run = F.floor(i / 50)
@@ -269,7 +270,7 @@ def sightings(t: Tables):
     )
 
 
-@query("forget_rejoin", "T15")
+@query("forget_rejoin", "T15", walks.REJOIN)
 def _rejoin(t: Tables):
     return D.forget_rejoin(sightings(t))
 
@@ -283,7 +284,7 @@ def acl_scans(t: Tables):
     ).groupBy("connection_id", "entry_id", "ts_ms", "created_ms", "reason", "client_info").agg(F.max("count").alias("count"))
 
 
-@query("auth_failure_bursts", "T16")
+@query("auth_failure_bursts", "T16", walks.BURSTS)
 def _bursts(t: Tables):
     return D.auth_failure_bursts(acl_scans(t))
 
@@ -319,12 +320,12 @@ def command_samples(t: Tables):
     )
 
 
-@query("upgrade_regressions", "T18")
+@query("upgrade_regressions", "T18", walks.UPGRADE)
 def _upgrade(t: Tables):
     return D.upgrade_regressions(command_samples(t), factor=1.05, needed=2)
 
 
-@query("sustained_regressions", "T18")
+@query("sustained_regressions", "T18", walks.SUSTAINED)
 def _sustained(t: Tables):
     return D.sustained_regressions(command_samples(t), factor=1.2, needed=2)
 
@@ -356,13 +357,13 @@ def _sessions(t: Tables):
     return D.session_intervals(reads, 2 * HOUR)
 
 
-@query("admitted_requests", "T22")
+@query("admitted_requests", "T22", walks.ADMITTED)
 def _admitted(t: Tables):
     requests = t.metric.select(F.col("connection_id").alias("rate_key"), "ts_ms", "id")
     return D.admitted_requests(requests, 5, 2 * HOUR)
 
 
-@query("miss_cost_backfill", "J24")
+@query("miss_cost_backfill", "J24", walks.BACKFILL)
 def _backfill(t: Tables):
     events = t.metric.select(
         F.concat("connection_id", F.lit("/"), (F.col("id") % 10).cast("string")).alias("prompt"), (F.col("ts_ms") / 60).cast("bigint").alias("ts_ms"), "id",
@@ -420,7 +421,7 @@ def _outcomes(t: Tables):
     return D.outcome_evaluation(adjustments, t.sim)
 
 
-@query("reconciled_facts", "V15")
+@query("reconciled_facts", "V15", walks.FACTS)
 def _facts(t: Tables):
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("event_id") % 90).cast("int")), "yyyy-MM-dd")
     rows = t.events.select(

@@ -405,7 +405,12 @@ def _class_pairs(t: Tables):
     return pairs.positive_class_pairs(t.vec, "label", "vec_id")
 
 
-@query("class_pairs_negative", "S14")
+@query(
+    "class_pairs_negative",
+    "S14",
+    """WITH h AS (SELECT vec_id, label, CAST(concat('0x', substr(md5(concat(vec_id, '#11')), 1, 15)) AS BIGINT) AS h FROM v_vec), l AS (SELECT *, lag(vec_id) OVER (ORDER BY h, vec_id) AS a, lag(label) OVER (ORDER BY h, vec_id) AS pl FROM h)
+    SELECT a, vec_id AS b FROM l WHERE pl <> label ORDER BY h, vec_id LIMIT (SELECT count(*) - count(DISTINCT label) FROM v_vec)""",
+)
 def _class_negatives(t: Tables):
     return pairs.negative_class_pairs(t.vec, "label", "vec_id")
 

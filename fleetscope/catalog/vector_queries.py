@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from fleetscope.catalog import walks
 from fleetscope.catalog.registry import query
 from fleetscope.catalog.views import ORIGIN_MS, Tables
 from fleetscope.functions.scoring import cosine_distance, token_set
@@ -391,7 +392,7 @@ def _embed(t: Tables):
     )
 
 
-@query("chunked_sessions", "V18")
+@query("chunked_sessions", "V18", walks.CHUNKS)
 def _chunks(t: Tables):
     return M.chunk_sessions(t.session, 40)
 

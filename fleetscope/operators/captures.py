@@ -214,8 +214,9 @@ def validate_sample(source: DataFrame, target: DataFrame) -> DataFrame:
 
 def sample_keys(keys: DataFrame, share: float, seed: int = 7) -> DataFrame:
     """A repeatable sample: the decision depends on the key alone, not on row order or partitions."""
-    bound = int(share * (1 << 31))
-    return keys.where(F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 31)) < bound)
+    digest = F.md5(F.concat(F.col("key"), F.lit(f"#{seed}")))
+    position = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    return keys.where(position < int(share * (1 << 32)))
 
 
 def explanation(hit: Column, exists: Column) -> Column:

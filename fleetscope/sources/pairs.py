@@ -45,8 +45,10 @@ def positive_class_pairs(items: DataFrame, label: str, item_id: str) -> DataFram
 
 def negative_class_pairs(items: DataFrame, label: str, item_id: str, seed: int = 11) -> DataFrame:
     """Neighbours in a seeded random order that belong to different classes, at most as many as positives."""
-    width = 1 << 52
-    shuffled = items.select(F.lit(0).alias("_all"), label, item_id, F.xxhash64(item_id, F.lit(seed)).alias("_h"))
+    width = 1 << 48
+    digest = F.md5(F.concat(F.col(item_id).cast("string"), F.lit(f"#{seed}")))
+    place = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+    shuffled = items.select(F.lit(0).alias("_all"), label, item_id, place.alias("_h"))
     linked = with_previous(shuffled, ["_all"], ["_h", item_id], {"a": item_id, "_l": label}, width)
     crossed = linked.where(F.col("_l") != F.col(label))
     wanted = items.agg((F.count(F.lit(1)) - F.countDistinct(label)).alias("n")).scalar()
