@@ -198,7 +198,7 @@ def _unexplained(t: Tables):
     return D.unexplained_resyncs(syncs)
 
 
-@query("control_plane_saturation", "T10")
+@query("control_plane_saturation", "T10", walks.CONTROL)
 def _control(t: Tables):
     i = F.col("id")
     polls = t.metric.select(

