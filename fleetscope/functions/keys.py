@@ -7,13 +7,13 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Patterns that mark a key segment as dynamic.
-NUMERIC = r"^\d+$"
-UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-LONG_ALPHANUMERIC = r"^[a-zA-Z0-9]{20,}$"
-SHORT_HEX = r"(?i)^[0-9a-f]{6,}$"
-OBJECT_ID = r"(?i)^[0-9a-f]{24}$"
-LONG_HEX = r"(?i)^[0-9a-f]{32,}$"
+# What marks a key segment as dynamic.
+NUMERIC = r"\d+"
+UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
+LONG_ALPHANUMERIC = r"[a-zA-Z0-9]{20,}"
+SHORT_HEX = r"[0-9a-fA-F]{6,}"
+OBJECT_ID = r"[0-9a-fA-F]{24}"
+LONG_HEX = r"[0-9a-fA-F]{32,}"
 CONTROL_CHARS = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 REPLACEMENT_CHAR = "�"
 BLOB = "<blob>"
@@ -26,13 +26,9 @@ SCRIPT_VERBS = ("EVAL", "EVALSHA", "FCALL", "FCALL_RO")
 KEYED_SCAN_VERBS = ("SSCAN", "HSCAN", "ZSCAN")
 
 
-def _matches_any(part: Column, patterns: Iterable[str]) -> Column:
-    """One pass of one alternation instead of a pass per pattern."""
-    return part.rlike("|".join(f"(?:{p})" for p in patterns))
-
-
-def _masked(parts: Column, patterns: Iterable[str]) -> Column:
-    return F.transform(parts, lambda p: F.when(_matches_any(p, patterns), "*").otherwise(p))
+def _star_segments(key: Column, delimiter: str, patterns: Iterable[str]) -> Column:
+    """Whole segments that match become ``*``, in one replacement over the key."""
+    return F.regexp_replace(key, f"(?<![^{delimiter}])(?:{'|'.join(patterns)})(?![^{delimiter}])", "*")
 
 
 def log_key_pattern(key: Column) -> Column:
@@ -40,17 +36,19 @@ def log_key_pattern(key: Column) -> Column:
     whole = (NUMERIC, UUID, LONG_ALPHANUMERIC)
     segment = (*whole, SHORT_HEX)
     return (
-        F.when(key.contains(":"), F.array_join(_masked(F.split(key, ":"), segment), ":"))
-        .when(key.contains("/"), F.array_join(_masked(F.split(key, "/"), segment), "/"))
-        .when(_matches_any(key, whole), "*")
+        F.when(key.contains(":"), _star_segments(key, ":", segment))
+        .when(key.contains("/"), _star_segments(key, "/", segment))
+        .when(key.rlike(rf"\A(?:{'|'.join(whole)})\z"), "*")
         .otherwise(key)
     )
 
 
 def keyspace_pattern(key: Column) -> Column:
-    """Keyspace grouping: split at any of ``: . _ -`` and rejoin with ``:``."""
-    parts = F.split(key, "[:._-]")
-    return F.array_join(_masked(parts, (NUMERIC, UUID, OBJECT_ID, LONG_HEX)), ":")
+    """Keyspace grouping: segments end at any of ``: . _ -`` and are joined with ``:``.
+
+    Since ``-`` ends a segment, a UUID shows as its parts.
+    """
+    return _star_segments(F.translate(key, "._-", ":::"), ":", (NUMERIC, OBJECT_ID, LONG_HEX))
 
 
 def key_prefix(verb: Column, key: Column) -> Column:
