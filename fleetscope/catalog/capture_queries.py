@@ -3,10 +3,9 @@
 from pyspark.sql import functions as F
 
 from fleetscope.catalog.registry import query
-from fleetscope.catalog.summary_queries import DELIVERIES, deliveries, operations
+from fleetscope.catalog.summary_queries import DELIVERIES, deliveries
 from fleetscope.catalog.views import ORIGIN_MS, Tables
 from fleetscope.operators import captures as C
-from fleetscope.operators import summaries
 
 DAY, HOUR = 86_400_000, 3_600_000
 SESSION = (ORIGIN_MS + 20 * DAY, ORIGIN_MS + 22 * DAY)

@@ -489,7 +489,7 @@ def _overlap(t: Tables):
     "instance_gates",
     "P16 P18 P19 P20 P21",
     """SELECT id, CASE WHEN cents/50000 >= 0.85 THEN 'memory_above_threshold' WHEN id % 50 = 0 THEN 'recent_oom' WHEN metric = 'error' AND id % 3 = 0 THEN 'failover_in_progress' WHEN cents*1000 >= 10485760 THEN 'replication_lag_elevated' END AS skip_reason,
-      CASE WHEN id % 4 = 0 THEN 0 WHEN id % 4 = 1 THEN cents/50000*100 WHEN cents/100 <= 1 THEN cents/100*100 ELSE cents/100 END AS percent_indexed, cents/40000*100 AS used_pct, CAST(floor(cents*(60000/1000)+0.5) AS BIGINT)*120 AS capture_bytes, CAST(7 + id % 2 AS INTEGER) AS major,
+      CASE WHEN id % 4 = 0 THEN 0 WHEN id % 4 = 1 THEN CASE WHEN cents/50000 <= 1 THEN cents/50000*100 ELSE cents/50000 END WHEN cents/100 <= 1 THEN cents/100*100 ELSE cents/100 END AS percent_indexed, cents/40000*100 AS used_pct, CAST(floor(cents*(60000/1000)+0.5) AS BIGINT)*120 AS capture_bytes, CAST(7 + id % 2 AS INTEGER) AS major,
       CASE WHEN id % 5 = 0 THEN 'unverified' WHEN id % 5 = 1 THEN 'hazard' END AS acl_hazard,
       CASE WHEN id % 6 < 2 THEN CASE WHEN id % 12 < 1 OR id % 12 = 7 THEN 'hazard' ELSE 'advisory' END WHEN id % 6 < 4 AND id % 4 >= 2 THEN 'hazard' END AS fsync_hazard FROM v_metric""",
 )

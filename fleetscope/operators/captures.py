@@ -47,8 +47,8 @@ def new_shapes(capture: DataFrame, baseline_log: DataFrame, baseline_clients: Da
     return fresh.join(verbs, ["connection_id", "verb"], "left_anti")
 
 
-def _ranked_keys(rows: DataFrame, count: str, rank: str) -> DataFrame:
-    """Keys of each connection by uses; position only for the first ``HOT_K``."""
+def _key_counts(rows: DataFrame, count: str) -> DataFrame:
+    """Uses of each key per connection."""
     return (
         rows.where(F.col("key").isNotNull() & (F.col("key") != ""))
         .groupBy("connection_id", "key")
@@ -59,8 +59,8 @@ def _ranked_keys(rows: DataFrame, count: str, rank: str) -> DataFrame:
 def hot_key_delta(capture: DataFrame, baseline: DataFrame, k: int = HOT_K) -> DataFrame:
     """Hottest keys of the capture that are new among the hottest, or changed their rank."""
     order = Window.partitionBy("connection_id")
-    now = _ranked_keys(capture, "n_capture", "rank_capture")
-    before = _ranked_keys(baseline, "n_baseline", "rank_baseline")
+    now = _key_counts(capture, "n_capture")
+    before = _key_counts(baseline, "n_baseline")
     top_now = now.withColumn(
         "rank_capture", F.row_number().over(order.orderBy(F.desc("n_capture"), "key")).cast("bigint")
     ).where(F.col("rank_capture") <= k)

@@ -203,20 +203,23 @@ def threshold_alerts(
     ``subscribers`` (subscriber, alert, threshold or null, above).
     """
     table = F.create_map(*[x for k, v in defaults.items() for x in (F.lit(k), F.lit(v))])
-    limit = F.coalesce("threshold", table[F.col("alert")])
-    rows = readings.join(subscribers, "alert").withColumn("limit_value", limit)
+    asked = subscribers.withColumn("limit_value", F.coalesce("threshold", table[F.col("alert")])).select(
+        "subscriber", "alert", "limit_value", "above"
+    )
+    # Subscribers with the same setting share one latch; only its alerts are handed to each of them.
+    rule = ["alert", "limit_value", "above"]
+    rows = readings.join(asked.select(*rule).distinct(), "alert")
     crossed = F.when(F.col("above"), F.col("value") >= F.col("limit_value")).otherwise(
         F.col("value") <= F.col("limit_value")
     )
     recovered = F.when(F.col("above"), F.col("value") < F.col("limit_value") * factor).otherwise(
         F.col("value") > F.col("limit_value") * (2 - factor)
     )
-    keys = ["subscriber", "connection_id", "alert"]
+    keys = ["connection_id", *rule]
     marks = rows.withColumn("_mark", F.when(crossed, 1).when(recovered, 0)).where(F.col("_mark").isNotNull())
     seen = with_previous(marks, keys, POLL, {"_before": "_mark"}, DAY_MS)
-    return seen.where((F.col("_mark") == 1) & (F.coalesce("_before", F.lit(0)) == 0)).select(
-        *keys, *POLL, "value", "limit_value"
-    )
+    fired = seen.where((F.col("_mark") == 1) & (F.coalesce("_before", F.lit(0)) == 0))
+    return fired.join(asked, rule).select("subscriber", "connection_id", "alert", *POLL, "value", "limit_value")
 
 
 def with_episode(df: DataFrame, keys: Sequence[str], order: Sequence[str], ends: Column, out: str) -> DataFrame:
