@@ -61,14 +61,15 @@ def _hot_delta(t: Tables):
       b AS (SELECT connection_id, upper(verb) AS verb, count(*) AS n FROM v_log WHERE log_type='slow' AND {_IN.format(*BASE)} GROUP BY 1,2),
       s AS (SELECT connection_id, upper(verb) AS verb, count(*) AS n FROM v_log WHERE log_type='slow' AND {_IN.format(*SESSION)} GROUP BY 1,2),
       p AS (SELECT connection_id, quantile_cont(n/CAST(604800 AS DOUBLE), 0.95) AS p95 FROM b GROUP BY 1)
-    SELECT v.connection_id, v.verb, s.n AS n_session, s.n/CAST(172800 AS DOUBLE) AS observed_rate, coalesce(b.n, 0)/CAST(604800 AS DOUBLE) AS baseline_rate, coalesce(p95, 0) AS p95_rate
+    SELECT v.connection_id, v.verb, s.n AS n_session, s.n/CAST(172800 AS DOUBLE) AS observed_rate, coalesce(b.n, 0)/CAST(604800 AS DOUBLE) AS baseline_rate, round(coalesce(p95, 0), 15) AS p95_rate
     FROM v JOIN s USING (connection_id, verb) LEFT JOIN b USING (connection_id, verb) LEFT JOIN p USING (connection_id) WHERE s.n/CAST(172800 AS DOUBLE) > coalesce(p95, 0)""",
 )
 def _regressions(t: Tables):
     slow = t.log.where(F.col("log_type") == "slow")
-    return C.slowlog_regressions(
+    found = C.slowlog_regressions(
         C.between(t.log, *SESSION), C.between(slow, *BASE), C.between(slow, *SESSION), BASE, SESSION
     )
+    return found.withColumn("p95_rate", F.round("p95_rate", 15))
 
 
 @query(

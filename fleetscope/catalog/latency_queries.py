@@ -30,14 +30,14 @@ def _profile(t: Tables):
     f"WITH {ENTRIES} SELECT connection_id, bucket, count(*) AS n, true AS p50_within, true AS p95_within FROM e GROUP BY 1,2",
 )
 def _profile_sketch(t: Tables):
-    """Sketched quantiles and whether their true rank is within three percent of the asked one."""
+    """Sketched quantiles and whether their true rank is within three percent and one row of the asked one."""
     keys = ["connection_id", "bucket"]
     sketch = L.latency_profile_sketch(t.log, START, END)
     entries = L.latency_entries(t.log, START, END).select(*keys, "value")
     ranked = entries.join(sketch, keys).groupBy(*keys, "n").agg(
         *[(F.count_if(F.col("value") <= F.col(p)) / F.count(F.lit(1))).alias(p) for p in ("p50", "p95")]
     )
-    within = lambda p, share: (F.abs(F.col(p) - share) <= 0.03).alias(f"{p}_within")
+    within = lambda p, share: (F.abs(F.col(p) - share) <= F.lit(0.03) + F.lit(1.0) / F.col("n")).alias(f"{p}_within")
     return ranked.select(*keys, "n", within("p50", 0.5), within("p95", 0.95))
 
 

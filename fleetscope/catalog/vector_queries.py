@@ -172,8 +172,8 @@ _SCOPED = """s AS (SELECT id, ts_ms, unnest(['all', category]) AS scope, score,
     f"""WITH {_SCOPED}, g AS (SELECT scope, t, count(*) AS n, count(*) FILTER (h) AS hits, count(*) FILTER (h AND score >= t - CAST(0.05 AS DOUBLE)) AS u, count(*) FILTER (NOT h AND score > t AND score <= t + CAST(0.03 AS DOUBLE)) AS nm,
         CAST(sum(CAST(round(score*1e9) AS BIGINT)) FILTER (h) AS DOUBLE) AS hs, CAST(sum(CAST(round(score*1e9) AS BIGINT)) FILTER (NOT h) AS DOUBLE) AS ms,
         CAST(coalesce(sum(CAST(round(score*1e9) AS BIGINT) - CAST(round(t*1e9) AS BIGINT)) FILTER (NOT h AND score > t AND score <= t + CAST(0.03 AS DOUBLE)), 0) AS DOUBLE) AS ns FROM w GROUP BY 1,2),
-      k AS (SELECT *, u/hits AS ur, nm/(n-hits) AS nr, CASE WHEN nm > 0 THEN ns/nm/CAST(1e9 AS DOUBLE) ELSE 0 END AS nd FROM g)
-    SELECT scope AS category, n AS samples, t AS threshold, hits/n AS hit_rate, ur AS uncertain_hit_rate, nr AS near_miss_rate, hs/hits/CAST(1e9 AS DOUBLE) AS avg_hit_score, ms/(n-hits)/CAST(1e9 AS DOUBLE) AS avg_miss_score,
+      k AS (SELECT *, CASE WHEN hits > 0 THEN u/hits ELSE 0 END AS ur, CASE WHEN n > hits THEN nm/(n-hits) ELSE 0 END AS nr, CASE WHEN nm > 0 THEN ns/nm/CAST(1e9 AS DOUBLE) ELSE 0 END AS nd FROM g)
+    SELECT scope AS category, n AS samples, t AS threshold, hits/n AS hit_rate, ur AS uncertain_hit_rate, nr AS near_miss_rate, CASE WHEN hits > 0 THEN hs/hits/CAST(1e9 AS DOUBLE) ELSE 0 END AS avg_hit_score, CASE WHEN n > hits THEN ms/(n-hits)/CAST(1e9 AS DOUBLE) ELSE 0 END AS avg_miss_score,
       CASE WHEN ur > 0.2 THEN 'tighten_threshold' WHEN nr > 0.3 AND nd < 0.03 THEN 'loosen_threshold' ELSE 'optimal' END AS recommendation,
       CASE WHEN ur > 0.2 THEN greatest(CAST(0 AS DOUBLE), t - CAST({0.05 * 1.5} AS DOUBLE)) WHEN nr > 0.3 AND nd < 0.03 THEN t + nd END AS recommended_threshold FROM k""",
 )
@@ -187,7 +187,7 @@ def _effectiveness(t: Tables):
     f"""WITH {_SCOPED}, p AS (SELECT scope, max(score) FILTER (rn = CAST(floor(hn*CAST(0.75 AS DOUBLE)) AS BIGINT)+1) AS p75 FROM (SELECT scope, score, row_number() OVER (PARTITION BY scope ORDER BY score) AS rn, count(*) OVER (PARTITION BY scope) AS hn FROM w WHERE h) GROUP BY 1),
       g AS (SELECT w.scope, t, any_value(p75) AS p75, count(*) AS n, count(*) FILTER (h) AS hits, count(*) FILTER (h AND score >= t - CAST(0.05 AS DOUBLE)) AS u, count(*) FILTER (h AND score > t/2) AS dh, count(*) FILTER (NOT h AND score > t AND score <= t + CAST(0.05 AS DOUBLE)) AS nm,
         CAST(sum(CAST(round(score*1e9) AS BIGINT) - CAST(round(t*1e9) AS BIGINT)) FILTER (NOT h AND score > t AND score <= t + CAST(0.05 AS DOUBLE)) AS DOUBLE) AS ns, max(ts_ms) AS latest FROM w JOIN p ON p.scope = w.scope GROUP BY 1,2),
-      k AS (SELECT *, hits/n AS hr, u/hits AS ur, dh/hits AS dr, nm/(n-hits) AS nr FROM g),
+      k AS (SELECT *, hits/n AS hr, CASE WHEN hits > 0 THEN u/hits ELSE 0 END AS ur, CASE WHEN hits > 0 THEN dh/hits ELSE 0 END AS dr, CASE WHEN n > hits THEN nm/(n-hits) ELSE 0 END AS nr FROM g),
       x AS (SELECT *, CASE WHEN ur > 0.2 AND ur*hr > 0.15 THEN 'uncertain_hits' WHEN ur > 0.2 THEN NULL WHEN dr > 0.25 AND hits >= 20 THEN CASE WHEN hr > 0.8 THEN 'distant_hits' END WHEN nr > 0.25 THEN 'near_misses' END AS sig FROM k)
     SELECT scope AS category, n AS samples, t AS threshold, 'optimal' AS recommendation, CAST(NULL AS DOUBLE) AS recommended_threshold, CAST(NULL AS VARCHAR) AS signal, CAST(NULL AS VARCHAR) AS blocked_by, CAST(NULL AS DOUBLE) AS signal_rate, CAST(NULL AS DOUBLE) AS confidence FROM x WHERE sig IS NULL
     UNION ALL SELECT scope, n, t, 'tighten', least(t, greatest(t - CAST(0.1 AS DOUBLE), greatest(CAST(0 AS DOUBLE), p75 + CAST({0.05 * 0.3} AS DOUBLE)))), sig, NULL, dr, NULL FROM x WHERE sig = 'distant_hits'
@@ -419,7 +419,11 @@ def questions_and_chunks(t: Tables):
     return q, e
 
 
-POOL = f"""{PAIRS}, x AS (SELECT doc_id, {_TOKA.format(c='text')} AS tok FROM documents),
+# Only vectors that have a document take part, on both sides.
+_TEXTED = PAIRS.replace("side = 'query'", "side = 'query' AND vec_id IN (SELECT doc_id FROM documents)").replace(
+    "side = 'entry'", "side = 'entry' AND vec_id IN (SELECT doc_id FROM documents)"
+)
+POOL = f"""{_TEXTED}, x AS (SELECT doc_id, {_TOKA.format(c='text')} AS tok FROM documents),
   b AS (SELECT query_id, entry_id, label, elabel, distance, rank, entry_id % 40 AS session_id, DATE '2024-01-01' + CAST(entry_id % 365 AS INTEGER) AS day, ({_BLEND.format(w=1.0 - 0.7)}) AS score
     FROM (SELECT r.*, a.tok AS qt, c.tok AS ct FROM r JOIN x a ON a.doc_id = query_id JOIN x c ON c.doc_id = entry_id WHERE rank <= 12)),
   p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS position FROM b)"""
