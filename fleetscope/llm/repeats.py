@@ -25,11 +25,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
+from hashlib import sha256
 from itertools import groupby
 
 import numpy as np
 import xxhash
-from hashlib import sha256
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -166,19 +166,37 @@ def _reach(ahead: list[bytes], own: list[int]) -> int:
     return common_prefix(min(ahead[i] for i in own), max(ahead[i] for i in own))
 
 
-def _repeated(rows: Iterable[tuple], least: int) -> Iterator[tuple]:
-    """(anchor, content, left, right, repeat) of each member of each maximal repeat of the
-    anchors' contents; rows come sorted by anchor."""
+def _by_anchor(rows: Iterable[tuple]) -> Iterator[tuple[int, list[tuple]]]:
+    """Anchors with their contents, each once; rows come sorted by anchor."""
     for anchor, group in groupby(rows, key=lambda r: r[0]):
-        unlike = {r[1]: r for r in group}
-        contents = list(unlike.values())
-        if len(contents) < 2:
-            continue
+        contents = list({r[1]: r for r in group}.values())
+        if len(contents) > 1:
+            yield anchor, contents
+
+
+def _repeated(rows: Iterable[tuple], least: int) -> Iterator[tuple]:
+    """(anchor, content, from, to, repeat) of each member of each maximal repeat."""
+    for anchor, contents in _by_anchor(rows):
         for number, (left, right, own) in enumerate(maximal_repeats([(r[6], -r[4]) for r in contents], least)):
             for i in own:
                 yield anchor, contents[i][1], -left, right, number
 
 
+def _covered(rows: Iterable[tuple], least: int) -> Iterator[tuple]:
+    """(anchor, content, from, to): what the maximal repeats of a content cover together.
+
+    All of them hold the anchor, so together they are one range.
+    """
+    for anchor, contents in _by_anchor(rows):
+        left, right = [0] * len(contents), [0] * len(contents)
+        for most_left, most_right, own in maximal_repeats([(r[6], -r[4]) for r in contents], least):
+            for i in own:
+                left[i], right[i] = max(left[i], most_left), max(right[i], most_right)
+        for i, r in enumerate(contents):
+            if right[i] and r[2] == 1:
+                yield anchor, r[1], -left[i], right[i]
+
+
 def _windows(rows: Iterable[tuple], least: int) -> Iterator[tuple]:
     for anchor, content, n, _, first, last, body in rows:
         for k in range(last - first + 1):
@@ -197,19 +215,13 @@ def corpus_runs(texts: DataFrame, least: int, gram: int) -> DataFrame:
     return map_rows(texts, partial(_runs, least=least, gram=gram), schema)
 
 
-def repeated_contents(texts: DataFrame, least: int = LEAST, gram: int = GRAM, members: int = MEMBERS) -> DataFrame:
-    """(anchor, content, from, to, repeat): byte ranges, relative to the anchor, that all
-    texts with this content share with another place; repeat numbers an anchor's groups.
-
-    Contents with repeat -1 occur as a whole twice or more; -2 comes from counted windows.
-    """
+def shared_contents(texts: DataFrame, least: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """Contents of anchors that occur twice or more, and (bodies) those of anchors with
+    several contents with the bytes of one occurrence each."""
     one = F.min(F.struct("doc_id", "tie", "place", "first", "last")).alias("one")
     contents = corpus_runs(texts, least, gram).groupBy("anchor", "content").agg(F.count("*").alias("n"), one)
     anchors = contents.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("members")).where("total > 1")
     shared = checkpointed(contents.join(anchors, "anchor").drop("total"))
-    whole = shared.where("n > 1").select(
-        "anchor", "content", F.col("one.first").alias("from"), (F.col("one.last") + least).alias("to"), F.lit(-1).alias("repeat")
-    )
     wanted = shared.where("members > 1").select("anchor", "content", "n", "members", "one.*")
     wanted = wanted.groupBy("doc_id", "tie").agg(
         F.collect_list(F.struct("place", "first", "last", "anchor", "content", "n", "members")).alias("wanted")
@@ -221,30 +233,63 @@ def repeated_contents(texts: DataFrame, least: int = LEAST, gram: int = GRAM, me
         partial(_bodies, least=least),
         "anchor bigint, content bigint, n bigint, members bigint, first int, last int, body binary",
     )
-    sorted_ = bodies.where(F.col("members") <= members).repartition("anchor").sortWithinPartitions("anchor")
-    by_tree = map_rows(
-        sorted_, partial(_repeated, least=least), "anchor bigint, content bigint, `from` int, `to` int, repeat int"
+    return shared, bodies
+
+
+def _whole(shared: DataFrame, least: int) -> DataFrame:
+    return shared.where("n > 1").select(
+        "anchor", "content", F.col("one.first").alias("from"), (F.col("one.last") + least).alias("to")
     )
+
+
+def _sorted(bodies: DataFrame, members: int) -> DataFrame:
+    return bodies.where(F.col("members") <= members).repartition("anchor").sortWithinPartitions("anchor")
+
+
+def _counted(bodies: DataFrame, least: int, members: int) -> DataFrame:
+    """The range of repeated windows of each content, for anchors of more than members contents."""
     windows = map_rows(
         bodies.where(F.col("members") > members).dropDuplicates(["anchor", "content"]),
         partial(_windows, least=least),
         "anchor bigint, content bigint, n bigint, `from` int, window bigint",
     )
     twice = windows.groupBy("anchor", "from", "window").agg(F.sum("n").alias("n")).where("n > 1").drop("n")
-    by_window = windows.join(twice, ["anchor", "from", "window"]).select(
-        "anchor", "content", "from", (F.col("from") + least).alias("to"), F.lit(-2).alias("repeat")
+    return (
+        windows.where("n = 1")
+        .join(twice, ["anchor", "from", "window"])
+        .groupBy("anchor", "content")
+        .agg(F.min("from").alias("from"), (F.max("from") + least).alias("to"))
     )
-    return whole.unionByName(by_tree).unionByName(by_window)
 
 
-def repeat_occurrences(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+def covered_contents(texts: DataFrame, least: int = LEAST, gram: int = GRAM, members: int = MEMBERS) -> DataFrame:
+    """(anchor, content, from, to), one row for each content that shares bytes with another
+    place: the range of these bytes, relative to the anchor."""
+    shared, bodies = shared_contents(texts, least, gram)
+    by_tree = map_rows(
+        _sorted(bodies, members), partial(_covered, least=least), "anchor bigint, content bigint, `from` int, `to` int"
+    )
+    return _whole(shared, least).unionByName(by_tree).unionByName(_counted(bodies, least, members))
+
+
+def repeat_occurrences(
+    docs: DataFrame, least: int = LEAST, gram: int = GRAM, members: int = MEMBERS
+) -> DataFrame:
     """(anchor, repeat, doc_id, start, end): all occurrences of each maximal repeat, in bytes.
 
-    A repeat is named by its anchor's hash and a number, -1 for contents that are copied as
-    a whole and -2 for single windows of anchors with more than MEMBERS contents.
+    A repeat is named by its anchor's hash and a number: -1 for contents that are copied as
+    a whole, -2 for the repeated windows of anchors with more than `members` contents.
     """
     texts = keyed(docs)
-    found = repeated_contents(texts, least, gram)
+    shared, bodies = shared_contents(texts, least, gram)
+    by_tree = map_rows(
+        _sorted(bodies, members),
+        partial(_repeated, least=least),
+        "anchor bigint, content bigint, `from` int, `to` int, repeat int",
+    )
+    whole = _whole(shared, least).withColumn("repeat", F.lit(-1))
+    counted = _counted(bodies, least, members).withColumn("repeat", F.lit(-2))
+    found = by_tree.unionByName(whole).unionByName(counted)
     places = corpus_runs(texts, least, gram).join(found, ["anchor", "content"])
     return places.select(
         "anchor", "repeat", "doc_id", (F.col("place") + F.col("from")).alias("start"), (F.col("place") + F.col("to")).alias("end")
@@ -264,7 +309,7 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 def _kept(rows: Iterable[tuple]) -> Iterator[tuple]:
     for doc_id, text, places in rows:
         data = text.encode()
-        spans = merged((r["start"], r["end"]) for some in places or [] for r in some)
+        spans = merged((r["start"], r["end"]) for r in places or [])
         digest, at, removed = sha256(), 0, 0
         for start, end in spans:
             digest.update(data[at:start])
@@ -284,14 +329,10 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, member
     if gram > least:
         raise ValueError("an anchor must fit a window")
     texts = keyed(docs)
-    ranges = (
-        repeated_contents(texts, least, gram, members)
-        .groupBy("anchor", "content")
-        .agg(F.collect_set(F.struct("from", "to")).alias("ranges"))
-    )
+    ranges = covered_contents(texts, least, gram, members)
     hits = corpus_runs(texts, least, gram).join(ranges, ["anchor", "content"])
-    moved = F.transform("ranges", lambda r: F.struct((F.col("place") + r["from"]).alias("start"), (F.col("place") + r["to"]).alias("end")))
-    places = hits.groupBy("doc_id", "tie").agg(F.collect_list(moved).alias("places"))
+    span = F.struct((F.col("place") + F.col("from")).alias("start"), (F.col("place") + F.col("to")).alias("end"))
+    places = hits.groupBy("doc_id", "tie").agg(F.collect_list(span).alias("places"))
     p, t = places.alias("p"), texts.alias("t")
     joined = t.join(p, (F.col("t.tie") == F.col("p.tie")) & F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")), "left")
     return map_rows(
