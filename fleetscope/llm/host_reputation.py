@@ -4,7 +4,7 @@ Labelled page outcomes (good or bad) are counted by host. A host's rate of good
 shrunk towards its registered domain's, a domain's towards its suffix's and a suffix's
 towards the overall rate: at each level the parent's posterior mean is the mean of a beta
 prior whose concentration is fitted to all groups of the level by the moments of the
-beta-binomial. A page is blocked if the upper posterior bound of its host's rate is under
+beta-binomial. A group's own outcomes are left out of its prior, so they count once. A page is blocked if the upper posterior bound of its host's rate is under
 the least rate wanted, so only well-attested bad hosts go.
 
 Everything is a DataFrame expression. Only one row of moments per level reaches the driver.
@@ -105,14 +105,17 @@ def reputations(outcomes: DataFrame, least: float = 0.5, z: float = 1.645) -> di
         if parent is None:
             groups = groups.withColumn("prior", F.lit(overall))
         else:
-            groups = groups.join(parent.select(above, F.col("mean").alias("prior")), above)
+            rest = (F.col("good_mass") - F.col("good")) / (F.col("mass") - F.col("n"))
+            groups = groups.join(parent.select(above, "good_mass", "mass"), above).withColumn("prior", rest)
         groups = checkpointed(groups)
         kappa = _concentration(groups)
         good, bad = F.col("good") + kappa * F.col("prior"), F.col("n") - F.col("good") + kappa * (1 - F.col("prior"))
         mean = good / (good + bad)
+        mass = F.col("n") + kappa
         error = F.sqrt(mean * (1 - mean) / (good + bad + 1))
-        parent = groups.select(
-            level, "n", "good", mean.alias("mean"), (mean - z * error).alias("lower"), (mean + z * error).alias("upper")
+        parent = groups.select(
+            level, "n", "good", mean.alias("mean"), (mean - z * error).alias("lower"), (mean + z * error).alias("upper"),
+            good.alias("good_mass"), mass.alias("mass"),
         ).withColumn("blocked", F.col("upper") < least)
         found[level] = parent
     return found

@@ -147,13 +147,15 @@ def label_sample(labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
 
 
 def best_level(scores: np.ndarray, good: np.ndarray, care: float) -> float | None:
-    """The score of a good document with the least care * (good lost) + (bad kept), as shares."""
+    """The score of a good document with the least care * (good lost) + (bad kept), as shares;
+    the share lost counts with one standard error more, so that few labels lose less."""
     if not good.any():
         return None
     levels, bad = np.sort(scores[good]), np.sort(scores[~good])
     lost = np.searchsorted(levels, levels) / len(levels)
     kept = 1 - np.searchsorted(bad, levels) / max(len(bad), 1)
-    return float(levels[np.argmin(care * lost + kept)])
+    error = np.sqrt(lost * (1 - lost) / len(levels))
+    return float(levels[np.argmin(care * (lost + error) + kept)])
 
 
 def _sampling(docs: DataFrame, labels: DataFrame, care: float, buckets: int, fit_rows: int, seed: int):
@@ -173,7 +175,7 @@ def _sampling(docs: DataFrame, labels: DataFrame, care: float, buckets: int, fit
 def resample(
     docs: DataFrame,
     labels: DataFrame,
-    care: float = 10.0,
+    care: float = 20.0,
     buckets: int = BUCKETS,
     fit_rows: int = FIT_ROWS,
     seed: int = 7,
@@ -191,7 +193,7 @@ def resample(
 def sampled_documents(
     docs: DataFrame,
     labels: DataFrame,
-    care: float = 10.0,
+    care: float = 20.0,
     buckets: int = BUCKETS,
     fit_rows: int = FIT_ROWS,
     seed: int = 7,

@@ -90,7 +90,7 @@ def _examples(rows: Iterable[tuple]) -> Iterator[tuple]:
                 yield window.tobytes().hex(), tags.astype(np.uint8).tobytes().hex(), int(tags.any())
 
 
-def fit(docs: DataFrame, fit_docs: int = 2000, fit_windows: int = 4000, steps: int = 300) -> Tagger | None:
+def fit(docs: DataFrame, fit_docs: int = 20_000, fit_windows: int = 4000, steps: int = 300) -> Tagger | None:
     """A tagger trained on the sampled windows, None if none of them holds a span."""
     n = docs.count()
     share = min(1.0, fit_docs / max(n, 1))
@@ -187,7 +187,7 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find_personal_data(
-    docs: DataFrame, fit_docs: int = 2000, fit_windows: int = 4000, steps: int = 300, least: float = 0.9
+    docs: DataFrame, fit_docs: int = 20_000, fit_windows: int = 4000, steps: int = 300, least: float = 0.9
 ) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) for each row of docs.
 

@@ -142,14 +142,15 @@ s0 AS (SELECT suffix, count(*) AS n, sum(good) AS good, any_value(rate) AS prior
 sk AS (SELECT 1 / least(greatest((sum((good - n * prior) ** 2 / (prior * (1 - prior))) - sum(n)) / nullif(sum(n * (n - 1.0)), 0), 1 / 1000001.0), 0.5) - 1 AS k
   FROM s0 WHERE prior > 0 AND prior < 1),
 s1 AS (SELECT suffix, n, good + coalesce(k, 1) * prior AS a, n - good + coalesce(k, 1) * (1 - prior) AS b FROM s0, sk),
-s2 AS (SELECT suffix, n, a / (a + b) AS mean, a + b AS c FROM s1),
+s2 AS (SELECT suffix, n, a / (a + b) AS mean, a + b AS c, a FROM s1),
 d0 AS (SELECT domain, suffix, count(*) AS n, sum(good) AS good FROM named GROUP BY ALL),
-d1 AS (SELECT d0.*, s2.mean AS prior FROM d0 JOIN s2 USING (suffix)),
+d1 AS (SELECT d0.*, (s2.a - d0.good) / (s2.c - d0.n) AS prior FROM d0 JOIN s2 USING (suffix)),
 dk AS (SELECT 1 / least(greatest((sum((good - n * prior) ** 2 / (prior * (1 - prior))) - sum(n)) / nullif(sum(n * (n - 1.0)), 0), 1 / 1000001.0), 0.5) - 1 AS k
   FROM d1 WHERE prior > 0 AND prior < 1),
-d2 AS (SELECT domain, n, (good + coalesce(k, 1) * prior) / (n + coalesce(k, 1)) AS mean, n + coalesce(k, 1) AS c FROM d1, dk),
+d2 AS (SELECT domain, n, (good + coalesce(k, 1) * prior) / (n + coalesce(k, 1)) AS mean, n + coalesce(k, 1) AS c,
+  good + coalesce(k, 1) * prior AS a FROM d1, dk),
 h0 AS (SELECT host, domain, count(*) AS n, sum(good) AS good FROM named GROUP BY ALL),
-h1 AS (SELECT h0.*, d2.mean AS prior FROM h0 JOIN d2 USING (domain)),
+h1 AS (SELECT h0.*, (d2.a - h0.good) / (d2.c - h0.n) AS prior FROM h0 JOIN d2 USING (domain)),
 hk AS (SELECT 1 / least(greatest((sum((good - n * prior) ** 2 / (prior * (1 - prior))) - sum(n)) / nullif(sum(n * (n - 1.0)), 0), 1 / 1000001.0), 0.5) - 1 AS k
   FROM h1 WHERE prior > 0 AND prior < 1),
 h2 AS (SELECT host, n, (good + coalesce(k, 1) * prior) / (n + coalesce(k, 1)) AS mean, n + coalesce(k, 1) AS c FROM h1, hk),

@@ -32,6 +32,8 @@ from fleetscope.llm.common import LOWER, UPPER, checkpointed, map_rows, smallest
 #: Members of a posting that are paired directly.
 BUCKET = 128
 UNITS = 8
+#: Bytes, nibbles, bit pairs, bits.
+LEVELS = 4
 PLANES = [set(p) for p in combinations(range(UNITS), 4) if p[0] ^ p[1] ^ p[2] ^ p[3] == 0]
 FOLD = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
@@ -93,7 +95,7 @@ def near_pairs(distinct: DataFrame, bits: int = 3, bucket: int = BUCKET) -> Data
     masks = [0]
     members = distinct.select("fp", F.lit(0).cast("long").alias("mask"))
     found: DataFrame | None = None
-    while True:
+    for level in range(1, LEVELS + 1):
         step = {m: finer(m) for m in masks}
         if masks == [0]:
             posted = members.withColumn("mask", F.explode(F.array(*[F.lit(signed(m)) for m in step[0]])))
@@ -104,7 +106,8 @@ def near_pairs(distinct: DataFrame, bits: int = 3, bucket: int = BUCKET) -> Data
         posted = posted.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         sizes = posted.groupBy("mask", "key").agg(F.count("*").alias("n")).where("n > 1")
         shared = checkpointed(posted.join(sizes, ["mask", "key"]))
-        small = shared.where(F.col("n") <= bucket)
+        most = bucket if level < LEVELS else 16  # the last level is always paired
+        small = shared.where(F.col("n") <= most)
         left = small.select("mask", "key", F.col("fp").alias("a"))
         right = small.select("mask", "key", F.col("fp").alias("b"))
         differ = F.col("a").bitwiseXOR(F.col("b"))
@@ -119,11 +122,11 @@ def near_pairs(distinct: DataFrame, bits: int = 3, bucket: int = BUCKET) -> Data
             .select("a", "b")
         )
         found = pairs if found is None else found.unionByName(pairs)
-        large = shared.where(F.col("n") > bucket).select("fp", "mask")
-        masks = sorted({m % (1 << 64) for (m,) in large.select("mask").distinct().collect()})
+        members = shared.where(F.col("n") > most).select("fp", "mask")
+        masks = sorted({m % (1 << 64) for (m,) in members.select("mask").distinct().collect()})
         if not masks:
-            return found.distinct()
-        members = large
+            break
+    return found.distinct()
 
 
 def _with_components(docs: DataFrame, bits: int, words_per_shingle: int) -> DataFrame:
