@@ -144,13 +144,12 @@ def _subscriptions(t: Tables):
 @query(
     "dead_letters",
     "J26",
-    f"""WITH {DELIVERIES}, p AS (SELECT concat('w', c_nationkey) AS subscriber, min(c_custkey % 5 + 1) AS max_retries FROM customer WHERE c_nationkey < 8 GROUP BY 1)
+    f"""WITH {DELIVERIES}, p AS (SELECT concat('w', c_nationkey) AS subscriber, min(c_custkey % 5 + 1) AS max_retries FROM customer GROUP BY 1)
     SELECT d.subscriber, id, created_ms, status, attempts FROM d LEFT JOIN p USING (subscriber) WHERE status = 'failed' AND attempts >= coalesce(max_retries, 3)""",
 )
 def _dead(t: Tables):
     policies = (
         t.table("customer")
-        .where(F.col("c_nationkey") < 8)
         .groupBy(F.concat(F.lit("w"), F.col("c_nationkey").cast("string")).alias("subscriber"))
         .agg(F.min(F.col("c_custkey") % 5 + 1).alias("max_retries"))
     )

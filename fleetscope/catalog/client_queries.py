@@ -29,7 +29,7 @@ for _by, _expr in (
     "idle_connections",
     "A2 P9",
     f"""SELECT *, CASE WHEN avg_idle > 3600 AND occurrences > 100 THEN 'zombie' WHEN avg_idle > 300 AND occurrences > 50 THEN 'stale'
-    ELSE 'monitor' END AS advice FROM (SELECT {IDENT} AS identifier, avg(idle) AS avg_idle, max(idle) AS max_idle, count(*) AS occurrences,
+    ELSE 'watch' END AS advice FROM (SELECT {IDENT} AS identifier, avg(idle) AS avg_idle, max(idle) AS max_idle, count(*) AS occurrences,
     min(captured_ms) AS first_seen, max(captured_ms) AS last_seen FROM v_client WHERE idle >= 300 GROUP BY 1) WHERE occurrences >= 10""",
 )
 def _idle(t: Tables):

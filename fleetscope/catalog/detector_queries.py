@@ -67,7 +67,7 @@ def _correlated(t: Tables):
 @query(
     "threshold_alerts",
     "T3",
-    """WITH s AS (SELECT s_name AS subscriber, CASE WHEN s_suppkey % 2 = 0 THEN CAST(200 + s_suppkey AS DOUBLE) END AS threshold, s_suppkey % 3 <> 2 AS above FROM supplier WHERE s_nationkey < 5),
+    """WITH s AS (SELECT s_name AS subscriber, CASE WHEN s_suppkey % 2 = 0 THEN CAST(200 + s_suppkey AS DOUBLE) END AS threshold, s_suppkey % 3 <> 2 AS above FROM supplier),
       r AS (SELECT subscriber, connection_id, 'memory_critical' AS alert, ts_ms, id, value, coalesce(threshold, 90) AS lim, above FROM v_metric, s WHERE metric = 'click'),
       k AS (SELECT *, CASE WHEN CASE WHEN above THEN value >= lim ELSE value <= lim END THEN 1 WHEN CASE WHEN above THEN value < lim*CAST(0.9 AS DOUBLE) ELSE value > lim*(2-CAST(0.9 AS DOUBLE)) END THEN 0 END AS mk FROM r),
       l AS (SELECT *, lag(mk) OVER (PARTITION BY subscriber, connection_id ORDER BY ts_ms, id) AS b FROM k WHERE mk IS NOT NULL)
@@ -75,7 +75,7 @@ def _correlated(t: Tables):
 )
 def _alerts(t: Tables):
     key = F.col("s_suppkey")
-    subscribers = t.table("supplier").where(F.col("s_nationkey") < 5).select(
+    subscribers = t.table("supplier").select(
         F.col("s_name").alias("subscriber"), F.lit("memory_critical").alias("alert"),
         F.when(key % 2 == 0, (key + 200).cast("double")).alias("threshold"), (key % 3 != 2).alias("above"),
     )
@@ -403,7 +403,7 @@ SIGNALS = ("uncertain_hits", "distant_hits", "near_misses", "low_hit_rate")
     "outcome_evaluation",
     "T25",
     f"""WITH a AS (SELECT s_suppkey AS pid, concat('cat', s_suppkey % 3) AS category, {ORIGIN_MS} + s_suppkey*3600000 AS ap, {ORIGIN_MS} + s_suppkey*3600000 + {3 * DAY} AS un, CAST(0.25 AS DOUBLE) + s_nationkey/CAST(1000 AS DOUBLE) AS t,
-        ['uncertain_hits','distant_hits','near_misses','low_hit_rate'][s_suppkey % 4 + 1] AS signal, (s_nationkey % 5)/CAST(10 AS DOUBLE) AS br FROM supplier WHERE s_nationkey < 20),
+        ['uncertain_hits','distant_hits','near_misses','low_hit_rate'][s_suppkey % 4 + 1] AS signal, (s_nationkey % 5)/CAST(10 AS DOUBLE) AS br FROM supplier),
       g AS (SELECT pid, signal, br, count(*) AS n, count(*) FILTER (result='hit') AS h, count(*) FILTER (result='hit' AND score >= t - CAST(0.05 AS DOUBLE)) AS u, count(*) FILTER (result='hit' AND score > t/2) AS d,
         count(*) FILTER (result='miss' AND score > t AND score <= t + CAST(0.05 AS DOUBLE)) AS m FROM a JOIN v_sim s ON s.category = a.category AND s.ts_ms BETWEEN ap AND un GROUP BY 1,2,3),
       r AS (SELECT *, CASE signal WHEN 'uncertain_hits' THEN CASE WHEN h > 0 THEN u/h ELSE 0 END WHEN 'distant_hits' THEN CASE WHEN h > 0 THEN d/h ELSE 0 END WHEN 'near_misses' THEN CASE WHEN n > h THEN m/(n-h) ELSE 0 END ELSE h/n END AS ar FROM g),
@@ -413,7 +413,7 @@ SIGNALS = ("uncertain_hits", "distant_hits", "near_misses", "low_hit_rate")
 def _outcomes(t: Tables):
     key = F.col("s_suppkey")
     applied = F.lit(ORIGIN_MS) + key * HOUR
-    adjustments = t.table("supplier").where(F.col("s_nationkey") < 20).select(
+    adjustments = t.table("supplier").select(
         key.alias("proposal_id"), F.concat(F.lit("cat"), (key % 3).cast("string")).alias("category"), applied.alias("applied_ms"), (applied + 3 * DAY).alias("until_ms"),
         (F.lit(0.25) + F.col("s_nationkey") / F.lit(1000.0)).alias("threshold"),
         F.element_at(F.array(*[F.lit(s) for s in SIGNALS]), (key % 4 + 1).cast("int")).alias("signal"), ((F.col("s_nationkey") % 5) / F.lit(10.0)).alias("before_rate"),

@@ -89,8 +89,8 @@ def _types(t: Tables):
 @query(
     "field_expiry_estimate",
     "A18",
-    """SELECT connection_id, count(*) FILTER (f <= 10000) AS sampled_hashes, count(*) FILTER (f > 10000) AS oversized_skipped,
-    count(*) FILTER (f <= 10000 AND e) > 0 AS detected, CAST(floor(count(*) FILTER (f <= 10000 AND e)/count(*)*any_value(tot)+0.5) AS BIGINT) AS estimated_keys
+    """SELECT connection_id, count(*) AS sampled_hashes, CAST(0 AS BIGINT) AS oversized_skipped,
+    count(*) FILTER (e) > 0 AS detected, CAST(floor(count(*) FILTER (e)/count(*)*any_value(tot)+0.5) AS BIGINT) AS estimated_keys
     FROM (SELECT connection_id, cardinality*400 AS f, ttl_s > 400000 AS e, order_key, count(*) OVER (PARTITION BY connection_id) AS tot FROM v_key WHERE key_type='hash') GROUP BY 1""",
 )
 def _hfe(t: Tables):
@@ -239,8 +239,9 @@ def _numbers(t: Tables):
 @query(
     "text_distribution",
     "A23",
-    """SELECT CASE WHEN length(text) > 60 THEN concat(left(text, 57), '...') ELSE text END AS value, count(*) AS n FROM documents WHERE text <> '' GROUP BY 1
-    ORDER BY n DESC, value LIMIT 50""",
+    """SELECT CASE WHEN length(value) > 60 THEN concat(left(value, 57), '...') ELSE value END AS value, n FROM
+    (SELECT text AS value, count(*) AS n FROM documents WHERE text <> '' GROUP BY 1
+    ORDER BY n DESC, value LIMIT 50)""",
 )
 def _texts(t: Tables):
     return K.field_distribution(t.table("documents"), "text", "TEXT")

@@ -437,11 +437,11 @@ def _costs(t: Tables):
     "duplicate_requests",
     "P11",
     """WITH k AS (SELECT sha256(concat('{"messages":[{"content":"', m, '","role":"', role, '"}],"model":"m1","temperature":1,"top_p":', CASE WHEN turn % 2 = 0 THEN '1' ELSE '0.5' END, '}')) AS cache_key, conv_id, turn
-      FROM (SELECT conv_id, turn, role, md5(lower(substr(text, 1, 3))) AS m FROM conversations))
+      FROM (SELECT conv_id, turn, role, md5(lower(text)) AS m FROM conversations))
     SELECT cache_key, count(*) AS requests, min(conv_id) AS first_conv FROM k GROUP BY 1""",
 )
 def _requests(t: Tables):
-    message = F.struct(F.md5(F.lower(F.substring("text", 1, 3))).alias("content"), F.col("role"))
+    message = F.struct(F.md5(F.lower("text")).alias("content"), F.col("role"))
     key = scoring.request_cache_key(
         F.lit("m1"), F.array(message), top_p=F.when(F.col("turn") % 2 == 1, F.lit(0.5))
     )

@@ -33,7 +33,7 @@ def idle_advice(avg_idle: Column, occurrences: Column) -> Column:
     return (
         F.when((avg_idle > 3600) & (occurrences > 100), "zombie")
         .when((avg_idle > 300) & (occurrences > 50), "stale")
-        .otherwise("monitor")
+        .otherwise("watch")
     )
 
 

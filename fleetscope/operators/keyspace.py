@@ -137,14 +137,15 @@ def type_estimates(source: DataFrame, totals: DataFrame) -> DataFrame:
     )
 
 
-def field_expiry_estimate(sampled: DataFrame, hash_totals: DataFrame, max_fields: int = 10_000) -> DataFrame:
+def field_expiry_estimate(sampled: DataFrame, hash_totals: DataFrame, max_fields: int | None = None) -> DataFrame:
     """Hashes with per-field expiry, extrapolated from the sampled ones.
 
     ``sampled`` has (connection_id, fields, has_field_ttl); ``hash_totals`` (connection_id, total_hashes).
+    Hashes of any size count unless ``max_fields`` is given; those over it are left out of both
+    sides of the share.
     """
-    fits = F.col("fields") <= max_fields
+    fits = F.lit(True) if max_fields is None else F.col("fields") <= max_fields
     per = sampled.groupBy("connection_id").agg(
-        F.count(F.lit(1)).alias("candidates"),
         F.count_if(fits).alias("sampled_hashes"),
         F.count_if(~fits).alias("oversized_skipped"),
         F.count_if(fits & F.col("has_field_ttl")).alias("positive"),
@@ -154,7 +155,9 @@ def field_expiry_estimate(sampled: DataFrame, hash_totals: DataFrame, max_fields
         "sampled_hashes",
         "oversized_skipped",
         (F.col("positive") > 0).alias("detected"),
-        js_round(F.col("positive") / F.col("candidates") * F.col("total_hashes")).alias("estimated_keys"),
+        js_round(
+            F.when(F.col("sampled_hashes") > 0, F.col("positive") / F.col("sampled_hashes")).otherwise(0.0) * F.col("total_hashes")
+        ).alias("estimated_keys"),
     )
 
 
@@ -326,15 +329,18 @@ def field_distribution(docs: DataFrame, column: str, kind: str, top: int = 50) -
     if kind == "TAG":
         rows = docs.select(F.explode(F.split(value, ",")).alias("value")).withColumn("value", F.trim("value"))
     else:
-        short = F.when(F.length(value) > 60, F.concat(F.substring(value, 1, 57), F.lit("..."))).otherwise(value)
-        rows = docs.select(short.alias("value"))
-    return (
+        rows = docs.select(value.alias("value"))
+    counted = (
         rows.where(F.col("value") != "")
         .groupBy("value")
         .agg(F.count(F.lit(1)).alias("n"))
         .orderBy(F.desc("n"), "value")
         .limit(top)
     )
+    if kind == "TAG":
+        return counted
+    label = F.when(F.length("value") > 60, F.concat(F.substring("value", 1, 57), F.lit("..."))).otherwise(F.col("value"))
+    return counted.withColumn("value", label)
 
 
 def glob_matches(value: Column, glob: Column) -> Column:

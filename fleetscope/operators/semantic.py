@@ -144,6 +144,11 @@ def _per_category(samples: DataFrame) -> DataFrame:
     return samples.withColumn("scope", F.explode(scopes)).where(F.col("scope") != "")
 
 
+def _exact_sum(units: Column) -> Column:
+    """Sum of whole units without a 64-bit limit."""
+    return F.sum(units.cast("decimal(19,0)")).cast("double")
+
+
 def threshold_effectiveness(
     samples: DataFrame,
     default: float,
@@ -165,9 +170,9 @@ def threshold_effectiveness(
         F.count_if(hit).alias("hits"),
         F.count_if(hit & (F.col("score") >= F.col("t") - F.lit(band))).alias("uncertain"),
         F.count_if(near).alias("near"),
-        F.sum(F.when(hit, nano)).alias("hit_sum"),
-        F.sum(F.when(~hit, nano)).alias("miss_sum"),
-        F.sum(F.when(near, nano - t_nano)).alias("near_sum"),
+        _exact_sum(F.when(hit, nano)).alias("hit_sum"),
+        _exact_sum(F.when(~hit, nano)).alias("miss_sum"),
+        _exact_sum(F.when(near, nano - t_nano)).alias("near_sum"),
     )
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     misses = F.col("samples") - F.col("hits")

@@ -137,11 +137,11 @@ def similarity_distribution(samples: DataFrame, buckets: int = 20, width: float
 
 def window_summary(samples: DataFrame) -> DataFrame:
     """Sample count, hits and mean score (scores summed exactly as 10^-9 units)."""
-    nano = F.round(F.col("score") * 1e9).cast("bigint")
+    nano = F.round(F.col("score") * 1e9).cast("decimal(19,0)")
     return samples.groupBy("category").agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("result") != "miss").alias("hits"),
-        (F.sum(nano) / F.count(F.lit(1)) / F.lit(1e9)).alias("avg_score"),
+        (F.sum(nano).cast("double") / F.count(F.lit(1)) / F.lit(1e9)).alias("avg_score"),
     )
 
 
@@ -191,15 +191,16 @@ def overhead_report(runs: DataFrame) -> DataFrame:
 
     ``runs`` has (workload, monitored, units) with integer units.
     """
-    n, s, q = F.count(F.lit(1)), F.sum("units"), F.sum(F.col("units") * F.col("units"))
+    units, wide = F.col("units").cast("decimal(19,0)"), "decimal(38,0)"
+    n, s, q = F.count(F.lit(1)), F.sum(units), F.sum(units * units)
     per = (
         runs.groupBy("workload", "monitored")
         .agg(n.alias("n"), s.alias("s"), q.alias("q"))
-        .withColumn("mean", F.col("s") / F.col("n"))
+        .withColumn("mean", F.col("s").cast("double") / F.col("n"))
         .withColumn(
             "sd",
-            F.sqrt((F.col("n").cast("decimal(10,0)") * F.col("q").cast("decimal(27,0)")
-                    - F.col("s").cast("decimal(18,0)") * F.col("s").cast("decimal(18,0)")).cast("double"))
+            F.sqrt((F.col("n").cast(wide) * F.col("q").cast(wide)
+                    - F.col("s").cast(wide) * F.col("s").cast(wide)).cast("double"))
             / F.col("n"),
         )
         .withColumn("cv_pct", F.when(F.col("mean") > 0, F.col("sd") / F.col("mean") * 100))

@@ -108,6 +108,16 @@ def cpu_utilization(df: DataFrame) -> DataFrame:
     )
 
 
+#: Exact whole units, and room for the sums of their products.
+UNITS, WIDE = "decimal(19,0)", "decimal(38,0)"
+
+
+def _squares(n: str) -> Column:
+    """n * q - s * s over the sums _s and _q, exact."""
+    s = F.col("_s").cast(WIDE)
+    return F.col(n).cast(WIDE) * F.col("_q").cast(WIDE) - s * s
+
+
 def rolling_baseline(
     df: DataFrame,
     keys: Sequence[str],
@@ -121,14 +131,15 @@ def rolling_baseline(
     """Mean, population deviation and z-score over the last rows, the current one included.
 
     ``units`` is an integer column (for example cents), so the sums are exact; ``scale``
-    turns units back into the reported measure.
+    turns units back into the reported measure. Squares are summed as wide decimals, so byte
+    gauges of any size fit.
     """
     value = F.col(units)
-    one = F.lit(1).cast("bigint")
-    summed = with_trailing_sums(df, keys, order, rows, {"_n": one, "_s": value, "_q": value * value}, slice_ms)
-    n, s, q = F.col("_n"), F.col("_s"), F.col("_q")
-    mean = s / n
-    spread = F.when(n < 2, 0.0).otherwise(F.sqrt((n * q - s * s).cast("double")) / n)
+    one, wide = F.lit(1).cast("bigint"), value.cast(UNITS)
+    summed = with_trailing_sums(df, keys, order, rows, {"_n": one, "_s": wide, "_q": wide * wide}, slice_ms)
+    n = F.col("_n")
+    mean = F.col("_s").cast("double") / n
+    spread = F.when(n < 2, 0.0).otherwise(F.sqrt(_squares("_n").cast("double")) / n)
     return (
         summed.withColumn("samples", n)
         .withColumn("mean", mean * scale)
@@ -145,19 +156,19 @@ def buffer_warmup(
 ) -> DataFrame:
     """State of each metric buffer now: statistics of its last rows and how ready it is."""
     recent = latest_n_per_group(df, keys, order, rows)
-    n, s, q = F.col("samples"), F.col("_s"), F.col("_q")
+    n, wide = F.col("samples"), F.col(units).cast(UNITS)
     return (
         recent.groupBy(*keys)
         .agg(
             F.count(F.lit(1)).alias("samples"),
-            F.sum(units).alias("_s"),
-            F.sum(F.col(units) * F.col(units)).alias("_q"),
+            F.sum(wide).alias("_s"),
+            F.sum(wide * wide).alias("_q"),
             F.min(units).alias("min_units"),
             F.max(units).alias("max_units"),
             F.max_by(units, F.struct(*order)).alias("latest_units"),
         )
-        .withColumn("mean", s / n)
-        .withColumn("stddev", F.when(n < 2, 0.0).otherwise(F.sqrt((n * q - s * s).cast("double")) / n))
+        .withColumn("mean", F.col("_s").cast("double") / n)
+        .withColumn("stddev", F.when(n < 2, 0.0).otherwise(F.sqrt(_squares("samples").cast("double")) / n))
         .withColumn("ready", n >= ready)
         .withColumn("ready_pct", F.least(F.lit(100.0), n / ready * 100))
         .drop("_s", "_q")
@@ -196,7 +207,7 @@ def forecast(
     exact decimals, so no row order and no merge order changes the result.
     """
     x = (F.col("ts_ms") - start_ms).cast("decimal(14,0)")
-    y = F.col("units").cast("decimal(14,0)")
+    y = F.col("units").cast(UNITS)
     sums = (
         df.where((F.col("ts_ms") >= start_ms) & (F.col("ts_ms") <= end_ms))
         .groupBy("connection_id", "metric")
@@ -211,14 +222,9 @@ def forecast(
             F.max_by("units", F.struct("ts_ms", "id")).alias("current_units"),
         )
     )
-    wide = "decimal(38,0)"
-    n = F.col("points").cast("decimal(10,0)")
-    denominator = (n * F.col("sxx").cast("decimal(27,0)")).cast(wide) - (
-        F.col("sx").cast("decimal(19,0)") * F.col("sx").cast("decimal(18,0)")
-    ).cast(wide)
-    numerator = (n * F.col("sxy").cast("decimal(27,0)")).cast(wide) - (
-        F.col("sx").cast("decimal(19,0)") * F.col("sy").cast("decimal(18,0)")
-    ).cast(wide)
+    n, sx, sy, sxx, sxy = (F.col(c).cast(WIDE) for c in ("points", "sx", "sy", "sxx", "sxy"))
+    denominator = n * sxx - sx * sx
+    numerator = n * sxy - sx * sy
     slope = F.when(denominator == 0, 0.0).otherwise(numerator.cast("double") / denominator.cast("double"))
     fitted = sums.withColumn("slope", slope).withColumn(
         "intercept",

@@ -79,8 +79,11 @@ def dedupe_spans(spans: DataFrame, lateness: str = "10 minutes") -> DataFrame:
 
 
 def split_late(rows: DataFrame, allowed_ms: int, event: str = "ts_ms", arrival: str = "captured_ms") -> tuple[DataFrame, DataFrame]:
-    """Rows in time, and rows that arrived later than allowed (for a side table)."""
-    late = F.col(arrival) - F.col(event) > allowed_ms
+    """Rows in time, and rows that arrived later than allowed (for a side table).
+
+    A row without either time counts as in time.
+    """
+    late = F.coalesce(F.col(arrival) - F.col(event) > allowed_ms, F.lit(False))
     return rows.where(~late), rows.where(late)
 
 
