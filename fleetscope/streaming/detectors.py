@@ -429,7 +429,8 @@ def resync_after_pressure(buffers: DataFrame, syncs: DataFrame, warning: float =
     )
     hits = latest.groupBy("connection_id", "ts_ms").agg(F.max_by("addr", F.struct("s.seen_ms", "addr")).alias("addr"))
     fired = fold_history(
-        hits.select("connection_id", "ts_ms"), ["connection_id"], ["ts_ms"], folds.cooldown(PRESSURE_MEMORY_MS, True), "ts_ms bigint"
+        hits.select("connection_id", "ts_ms"), ["connection_id"], ["ts_ms"], folds.cooldown(PRESSURE_MEMORY_MS, True),
+        "ts_ms bigint", forgets_ms=PRESSURE_MEMORY_MS,
     )
     return fired.join(hits, ["connection_id", "ts_ms"])
 
@@ -447,7 +448,9 @@ def unexplained_resyncs(syncs: DataFrame, window_ms: int = PRESSURE_MEMORY_MS, n
         grown.withColumn("_odd", odd).where(F.col("_odd") > 0), keys, "ts_ms", window_ms, {"recent": F.sum("_odd")}
     )
     hits = counted.where(F.col("recent") >= needed).groupBy(*keys, "ts_ms").agg(F.max("recent").alias("recent"))
-    fired = fold_history(hits.select(*keys, "ts_ms"), keys, ["ts_ms"], folds.cooldown(window_ms, True), "ts_ms bigint")
+    fired = fold_history(
+        hits.select(*keys, "ts_ms"), keys, ["ts_ms"], folds.cooldown(window_ms, True), "ts_ms bigint", forgets_ms=window_ms
+    )
     return fired.join(hits, [*keys, "ts_ms"])
 
 
@@ -544,10 +547,13 @@ def shard_owners(nodes: DataFrame) -> DataFrame:
 
 
 def failover_churn(nodes: DataFrame) -> DataFrame:
-    """Shards whose owner or epoch keeps changing within a minute."""
+    """Shards whose owner or epoch keeps changing within a minute.
+
+    The fold forgets a shard that was not seen for two windows, so its series is cut there.
+    """
     return fold_history(
-        shard_owners(nodes), ["connection_id", "shard"], ["ts_ms"], folds.failover_churn(),
-        "ts_ms bigint, changes bigint, severity string",
+        shard_owners(nodes), ["connection_id", "shard"], ["ts_ms"], folds.failover_churn(MINUTE_MS),
+        "ts_ms bigint, changes bigint, severity string", forgets_ms=2 * MINUTE_MS,
     )
 
 
@@ -634,12 +640,10 @@ def auth_failure_bursts(
     )
     summed = over_trailing_range(grown, source, "ts_ms", window_ms, {"failures": F.sum("_d")}, inclusive=False)
     hits = summed.where(F.col("failures") >= needed).select(*source, "ts_ms", "failures")
-    gaps = with_previous(hits, source, ["ts_ms"], {"_prev": "ts_ms"}, DAY_MS)
-    cut = with_running_sum(
-        gaps, source, ["ts_ms"], {"_cut": F.coalesce(F.col("ts_ms") - F.col("_prev") > wait_ms, F.lit(True)).cast("bigint")}, DAY_MS
+    fired = fold_history(
+        hits.select(*source, "ts_ms"), source, ["ts_ms"], folds.cooldown(wait_ms), "ts_ms bigint", forgets_ms=wait_ms
     )
-    fired = fold_history(cut.select(*source, "_cut", "ts_ms"), [*source, "_cut"], ["ts_ms"], folds.cooldown(wait_ms), "ts_ms bigint")
-    return fired.drop("_cut").join(hits, [*source, "ts_ms"])
+    return fired.join(hits, [*source, "ts_ms"])
 
 
 def sla_breaches(ticks: DataFrame, limit_us: float, wait_ms: int = 600_000) -> DataFrame:

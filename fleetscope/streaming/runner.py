@@ -46,25 +46,34 @@ def fold_history(
     reset: Column | None = None,
     closes: Column | None = None,
     slice_ms: int = DAY_MS,
+    forgets_ms: int | None = None,
 ) -> DataFrame:
     """Run a fold over all rows of each key in order; ``out`` names the emitted columns with types.
 
     ``reset`` rows leave the initial state and emit nothing: they only cut. ``closes`` rows leave the
     initial state but may emit: they end their segment, and one that follows another is dropped.
+    ``forgets_ms``: a row more than this behind the one before it (by the first of ``order``) is treated
+    as the first of its key by ``step``, so a new segment starts there.
     """
     keys = list(keys)
     groups = keys
+    if forgets_ms is not None:
+        seen = with_previous(df, keys, order, {"_last": order[0]}, slice_ms)
+        fresh = F.coalesce(F.col(order[0]) - F.col("_last") > forgets_ms, F.lit(True)).cast("bigint")
+        df = with_running_sum(seen.withColumn("_fresh", fresh), keys, order, {"_pause": "_fresh"}, slice_ms)
+        df = df.drop("_last", "_fresh")
+        groups = [*keys, "_pause"]
     if closes is not None:
         marked = df.withColumn("_closes", F.coalesce(closes, F.lit(False)))
         seen = with_previous(marked, keys, order, {"_after": "_closes"}, slice_ms)
         kept = seen.where(~(F.col("_closes") & F.coalesce("_after", F.lit(True))))
         ended = with_running_sum(kept, keys, order, {"_seg": F.col("_closes").cast("bigint")}, slice_ms)
         df = ended.withColumn("_seg", F.col("_seg") - F.col("_closes").cast("bigint")).drop("_closes", "_after")
-        groups = [*keys, "_seg"]
+        groups = [*groups, "_seg"]
     if reset is not None:
         marked = df.withColumn("_reset", F.coalesce(reset, F.lit(False)).cast("bigint"))
         df = with_running_sum(marked, keys, order, {"_seg": "_reset"}, slice_ms).where(F.col("_reset") == 0).drop("_reset")
-        groups = [*keys, "_seg"]
+        groups = [*groups, "_seg"]
     kinds = dict(df.dtypes)
     schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [out])
     names = [*keys, *_columns(out)]

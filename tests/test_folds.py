@@ -372,6 +372,28 @@ def test_fold_reset_segments_do_not_change_results(spark):
     assert plain == cut and plain
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_cuts_at_pauses_keep_results(spark, seed):
+    draw = random.Random(seed)
+    ts, hits, owners = 0, [], []
+    for i in range(400):
+        ts += draw.choice([0, 5_000, 10_000, 30_000, 60_000, 60_001, 120_000, 120_001, 400_000]) + 1
+        hits.append(("a" if i % 3 else "b", ts))
+        owners.append(("a", ts, i // 2 + draw.choice([0, 0, 1]), draw.choice(["x", "y"]), draw.random() < 0.1, []))
+    hit_rows = spark.createDataFrame(hits, "k string, ts_ms long")
+    for wait in (60_000, 120_000):
+        for boundary in (False, True):
+            run = [hit_rows, ["k"], ["ts_ms"], folds.cooldown(wait, boundary), "hit long"]
+            assert rows(fold_history(*run), "k", "hit") == rows(fold_history(*run, slice_ms=600_000, forgets_ms=wait), "k", "hit")
+    shard_rows = spark.createDataFrame(
+        owners, "k string, ts_ms long, epoch long, owner string, resharding boolean, unhealthy array<string>"
+    )
+    run = [shard_rows, ["k"], ["ts_ms"], folds.failover_churn(), "hit long, n long, severity string"]
+    plain = rows(fold_history(*run), "hit", "n", "severity")
+    assert plain == rows(fold_history(*run, slice_ms=600_000, forgets_ms=120_000), "hit", "n", "severity")
+    assert plain
+
+
 def test_state_is_plain_json():
     state = {}
     step = folds.failover_churn()
