@@ -18,6 +18,8 @@ LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 NOT_LOCAL = re.compile(r"[^A-Za-z0-9._%+-]")
 DIGIT = re.compile("[0-9]")
+#: Digits from which a match has the size of its kind.
+LEAST_DIGITS = {"ip": 4, "card": 16, "phone": 8}
 
 
 def luhn(digits: str) -> bool:
@@ -63,3 +65,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
         for kind in KINDS[1:]:
             found += [(kind, *m.span()) for m in PATTERNS[kind].finditer(text) if passes(kind, m.group())]
     return found
+
+
+def undecided(text: str) -> list[tuple[int, int]]:
+    """(start, end) of matches of the size of their kind that fail its check.
+
+    Numbers of a wrong sum look like right ones, and two entries side by side are one match
+    too long, so such a stretch is an example of neither.
+    """
+    if not DIGIT.search(text):
+        return []
+    return [
+        m.span()
+        for kind, least in LEAST_DIGITS.items()
+        for m in PATTERNS[kind].finditer(text)
+        if not passes(kind, m.group()) and len(DIGIT.findall(m.group())) >= least
+    ]

@@ -3,8 +3,10 @@
 The tagger learns from labelled spans: those that the fixed patterns find in a bounded
 sample of documents (fit_docs documents, fit_windows windows, by hash). It reads characters
 as 16 classes, so it learns the shape of what it tags and its surroundings, and finds spans
-of like shape that the patterns miss. Its spans are added to those of the patterns where
-they do not overlap.
+of like shape that the patterns miss. Windows with a match that has the size of its kind but
+fails its check (a wrong check sum, two entries side by side) are no examples: their shape is
+that of the kind. What is tagged must pass such checks itself. The parts of its spans that lie
+outside those of the patterns are added.
 
 All kinds hold a digit or an @, so only stretches around these characters are read: every
 one of them with MARGIN characters on both sides, joined where they meet. A stretch is cut
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.llm.common import map_rows
-from fleetscope.llm.pii_patterns import DIGIT, KINDS, base_spans
+from fleetscope.llm.pii_patterns import DIGIT, KINDS, base_spans, luhn, undecided
 from fleetscope.llm.tagger import WINDOW, Tagger, classes
 
 MARGIN = 24
@@ -82,9 +84,13 @@ def _examples(rows: Iterable[tuple]) -> Iterator[tuple]:
         for span in spans:  # kinds may overlap; the first listed labels the characters
             if all(span[2] <= s or e <= span[1] for _, s, e in free):
                 free.append(span)
+        unclear = undecided(text)
         for a, b in stretches(text):
             codes = classes(text[a:b])
+            near = [(s - a, e - a) for s, e in unclear if s < b and e > a]
             for start in windows_of(b - a):
+                if any(s < start + WINDOW and e > start for s, e in near):
+                    continue
                 window = cut(codes, start)
                 tags = tags_of(WINDOW, free, a + start)
                 yield window.tobytes().hex(), tags.astype(np.uint8).tobytes().hex(), int(tags.any())
@@ -123,13 +129,29 @@ def _spans(path: np.ndarray, scores: np.ndarray, start: int) -> Iterator[tuple[s
         marked = marked[np.searchsorted(marked, at) :]
 
 
-#: What the tagger's spans must hold to count: characters and least number of digits.
-NEEDS = {"email": ("@.", 0), "ip": (".", 4), "card": ("", 13), "phone": ("", 8)}
+#: What the tagger's spans must hold to count: characters, least and largest number of digits.
+NEEDS = {"email": ("@.", 0, 1000), "ip": (".", 4, 12), "card": ("", 13, 19), "phone": ("", 8, 15)}
 
 
 def plausible(kind: str, found: str, sure: float, least: float) -> bool:
-    signs, digits = NEEDS[kind]
-    return sure >= least and all(c in found for c in signs) and len(DIGIT.findall(found)) >= digits
+    signs, fewest, most = NEEDS[kind]
+    digits = "".join(DIGIT.findall(found))
+    fits = all(c in found for c in signs) and fewest <= len(digits) <= most
+    return sure >= least and fits and (kind != "card" or luhn(digits))
+
+
+def parts(text: str, kind: str, a: int, b: int, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
+    """What is left of a tagged span without the patterns' spans; cards too long for one are cut at blanks."""
+    free = [a]
+    for _, s, e in sorted(base, key=lambda x: x[1]):
+        if s < b and e > a:
+            free += [s, e]
+    free.append(b)
+    for s, e in zip(free[::2], free[1::2], strict=True):
+        found = text[s:e] if s < e else ""
+        several = kind == "card" and len(DIGIT.findall(found)) > NEEDS["card"][2]
+        for m in re.finditer(r"\S+" if several else r"\S(?:.*\S)?", found, re.S):
+            yield s + m.start(), s + m.end()
 
 
 def tagged(items: list[tuple[int, str, int]], tagger: Tagger) -> Iterator[tuple[int, str, int, int, float]]:
@@ -172,8 +194,9 @@ def _finished(held: list[tuple], tagger: Tagger | None, least: float) -> Iterato
     items = [(i, text[a:b], a) for i, (_, text, _, own) in enumerate(held) for a, b in own]
     for i, kind, a, b, sure in tagged(items, tagger) if items else ():
         text, base = held[i][1], held[i][2]
-        if plausible(kind, text[a:b], sure, least) and all(b <= s or e <= a for _, s, e in base):
-            added.setdefault(i, []).append((kind, a, b))
+        for s, e in parts(text, kind, a, b, base):
+            if plausible(kind, text[s:e], sure, least):
+                added.setdefault(i, []).append((kind, s, e))
     for i, (doc_id, _, base, _) in enumerate(held):
         extra = added.get(i, [])
         every = sorted(base + extra, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
@@ -187,7 +210,7 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find_personal_data(
-    docs: DataFrame, fit_docs: int = 20_000, fit_windows: int = 4000, steps: int = 300, least: float = 0.9
+    docs: DataFrame, fit_docs: int = 20_000, fit_windows: int = 4000, steps: int = 300, least: float = 0.7
 ) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added) for each row of docs.
 

@@ -15,7 +15,7 @@ from fleetscope.llm import (
     apportion, byte_bpe, host_reputation, importance, line_rules, merkle, pii_tagger, repeats, simhash, site_lines,
 )
 from fleetscope.llm.common import n_words, smallest_of_component, with_rank
-from fleetscope.llm.pii_patterns import KINDS, PATTERNS, base_spans, passes
+from fleetscope.llm.pii_patterns import KINDS, PATTERNS, base_spans, passes, undecided
 from fleetscope.llm.tagger import Tagger
 from tests.conftest import SMALL
 
@@ -471,6 +471,42 @@ def test_base_spans_stay_and_are_counted(spark):
     assert set(base.split(",")) <= set(row["spans"].split(","))
 
 
+def test_two_entries_side_by_side(spark):
+    one, other, wrong = "4111111111111111", "5500005555555559", "4111111111111112"
+    text = f"pay {one} {other} or {wrong}, call +1 (234) 555-1234 10.20.30.40 now"
+    base = base_spans(text)
+    assert [k for k, _, _ in base] == ["ip"]
+    cards, phone = text.index(one), text.index("+1")
+    found = [text[a:b] for a, b in pii_tagger.parts(text, "card", cards, cards + 33, base)]
+    assert found == [one, other] and all(pii_tagger.plausible("card", x, 0.8, 0.7) for x in found)
+    found = [text[a:b] for a, b in pii_tagger.parts(text, "phone", phone, phone + 29, base)]
+    assert found == ["+1 (234) 555-1234"] and pii_tagger.plausible("phone", found[0], 0.8, 0.7)
+    assert not pii_tagger.plausible("card", wrong, 1.0, 0.7)
+    unclear = [text[a:b] for a, b in undecided(text)]
+    assert unclear == [f"{one} {other}", wrong, "+1 (234) 555-1234 10.20.30.40"]
+
+
+def test_tagger_adds_what_the_patterns_miss(spark):
+    rng = random.Random(3)
+
+    def phone():
+        return f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(1000, 9999)}"
+
+    def ip():
+        return ".".join(str(rng.randint(10, 255)) for _ in range(4))
+
+    rows = [(i, f"word {phone()} and so, there {ip()} it is {rng.randint(1, 99)}") for i in range(300)]
+    rows += [(i, f"reach {phone()} {ip()} then") for i in range(300, 320)]
+    out = pii_tagger.find_personal_data(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    for row in out:
+        base = base_spans(rows[row["doc_id"]][1])
+        assert {f"{k}:{a}:{b}" for k, a, b in base} <= set(row["spans"].split(","))
+    beside = [row for row in out if row["doc_id"] >= 300]
+    right = sum("phone:6:23" in row["spans"].split(",") for row in beside)
+    assert right >= 15, right
+    assert sum(row["n_added"] for row in out if row["doc_id"] < 300) == 0
+
+
 # 10
 
 
