@@ -176,3 +176,62 @@ SELECT page_id, host, path, rule, n_labelled,
     WHEN blocked THEN 'block' ELSE 'allow' END AS verdict
 FROM ruled
 """
+
+ORACLES["op2_line_rules"] = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (
+  SELECT rid, unnest(string_split(text, chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM docs
+),
+split AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS w FROM lines),
+words AS (SELECT rid, line_no, unnest(w) AS word, generate_subscripts(w, 1) AS line_pos FROM split),
+runs AS (
+  SELECT *, row_number() OVER d AS pos, count(*) OVER (PARTITION BY rid, line_no) AS n,
+    lead(word, 1) OVER d AS word2, lead(word, 2) OVER d AS word3,
+    word = lead(word, 1) OVER l AND word = lead(word, 2) OVER l AND word = lead(word, 3) OVER l
+      AND word = lead(word, 4) OVER l AS five
+  FROM words WINDOW d AS (PARTITION BY rid ORDER BY line_no, line_pos), l AS (PARTITION BY rid, line_no ORDER BY line_pos)
+),
+again AS (
+  SELECT *, word3 IS NOT NULL AND count(*) OVER (PARTITION BY rid, word, word2, word3) > 1 AS twice FROM runs
+),
+covered AS (
+  SELECT *, twice OR coalesce(lag(twice, 1) OVER d, false) OR coalesce(lag(twice, 2) OVER d, false) AS repeated
+  FROM again WINDOW d AS (PARTITION BY rid ORDER BY pos)
+),
+counts AS (
+  SELECT rid, line_no, any_value(n) AS n, sum(length(word)) AS chars, count(*) FILTER (word = '|') AS bars,
+    count(*) FILTER (line_pos < n AND (word LIKE '%>' OR word LIKE '%|')) AS ends,
+    count(*) FILTER (word LIKE '%!!' OR word LIKE '%??') AS shouts, coalesce(bool_or(five), false) AS five,
+    count(*) FILTER (repeated) AS repeated
+  FROM covered GROUP BY ALL
+),
+judged AS (
+  SELECT c.*, l.line, length(regexp_replace(l.line, '[^#*$%&|<>]', '', 'g')) AS symbols,
+    regexp_matches(lower(l.line), 'all rights reserved|cookie policy|privacy policy|terms of use|terms of service|lorem ipsum'
+      || '|javascript is disabled|skip to content|licensed under|sign up for our newsletter') AS phrase
+  FROM counts c JOIN lines l USING (rid, line_no)
+),
+failing AS (
+  SELECT *, phrase OR five OR (bars >= 3 AND 4 * bars > n) OR (n >= 3 AND symbols > 0 AND ends = n - 1)
+    OR (symbols >= 3 AND 5 * symbols > n) OR (n >= 3 AND 2 * shouts > n)
+    OR (n >= 8 AND NOT regexp_matches(line, '[.,;:!?。！？、，]')) AS fails FROM judged
+),
+sums AS (
+  SELECT rid, sum(n) AS n_words, sum(chars) AS word_chars, count(*) - count(DISTINCT line) AS n_dup_lines,
+    sum(repeated) AS n_repeat_words, count(*) FILTER (fails) AS n_failed_lines,
+    sum(CASE WHEN fails THEN 0 ELSE n END) AS n_kept_words
+  FROM failing GROUP BY rid
+),
+whole AS (
+  SELECT doc_id, coalesce(n_words, 0)::bigint AS n_words, coalesce(word_chars, 0)::bigint AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0)::bigint AS n_dup_lines,
+    coalesce(n_repeat_words, 0)::bigint AS n_repeat_words, coalesce(n_failed_lines, 0)::bigint AS n_failed_lines,
+    coalesce(n_kept_words, 0)::bigint AS n_kept_words
+  FROM docs LEFT JOIN sums USING (rid)
+),
+based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM whole)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND n_kept_words >= 0.5 * n_words AS kept, n_failed_lines, n_kept_words
+FROM based
+"""
