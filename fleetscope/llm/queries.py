@@ -235,3 +235,69 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND n_kept_words >= 0.5 * n_words AS kept, n_failed_lines, n_kept_words
 FROM based
 """
+
+ORACLES["op6_apportion"] = r"""
+WITH RECURSIVE sizes AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint AS size,
+    md5('mix/' || coalesce(doc_id::varchar, '') || '/' || coalesce(text, '')) AS mark
+  FROM documents
+),
+sources AS (
+  SELECT *, [1, 2, 3][((place - 1) % 3 + 1)::int] AS weight FROM (
+    SELECT source, sum(size)::bigint AS source_size, count(*) AS n_docs,
+      row_number() OVER (ORDER BY source NULLS LAST) AS place FROM sizes GROUP BY source)
+),
+total AS (SELECT sum(source_size)::hugeint AS total, sum(weight)::hugeint AS weight FROM sources),
+levels AS (
+  SELECT 0 AS round, total AS rest, weight, false AS done FROM total
+  UNION ALL
+  SELECT round + 1, coalesce(next_rest, rest), coalesce(next_weight, weight),
+    next_weight IS NULL OR (next_rest = rest AND next_weight = weight)
+  FROM (
+    SELECT l.round, l.rest, l.weight,
+      any_value(t.total) - coalesce(sum(3 * s.source_size) FILTER (s.weight * l.rest > 3 * s.source_size * l.weight), 0)::hugeint AS next_rest,
+      (sum(s.weight) FILTER (s.weight * l.rest <= 3 * s.source_size * l.weight))::hugeint AS next_weight
+    FROM levels l, sources s, total t WHERE NOT l.done GROUP BY ALL
+  )
+),
+level AS (SELECT rest, weight FROM levels ORDER BY round DESC LIMIT 1),
+targets AS (
+  SELECT s.*, CASE WHEN t.total = 0 THEN 0.0::double
+      WHEN s.weight * l.rest > 3 * s.source_size * l.weight THEN s.source_size * 3.0::double
+      ELSE s.weight::double * l.rest::double / l.weight::double END AS target,
+    ((t.total + 63) // 64)::bigint AS blocks
+  FROM sources s, level l, total t
+),
+source_seats AS (
+  SELECT place, count(*) AS seats FROM (
+    SELECT place, blocks, row_number() OVER (ORDER BY target / (2 * seat + 1) DESC, place) AS nth
+    FROM (SELECT place, blocks, target, unnest(range(blocks)) AS seat FROM targets WHERE target > 0)
+  ) WHERE nth <= blocks GROUP BY place
+),
+placed AS (
+  SELECT d.doc_id, d.size, d.mark, t.place, t.source_size, t.target, coalesce(g.seats, 0) AS source_seats,
+    ('0x' || substr(d.mark, 1, 8))::bigint % ceil(t.n_docs / 1024)::bigint AS shard
+  FROM sizes d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source LEFT JOIN source_seats g USING (place)
+),
+shards AS (
+  SELECT place, shard, sum(size)::bigint AS shard_size, max(source_seats) AS source_seats FROM placed GROUP BY ALL
+),
+shard_seats AS (
+  SELECT place, shard, count(*) AS seats FROM (
+    SELECT place, shard, source_seats,
+      row_number() OVER (PARTITION BY place ORDER BY shard_size / (2 * seat + 1) DESC, shard) AS nth
+    FROM (SELECT *, unnest(range(source_seats)) AS seat FROM shards WHERE shard_size > 0)
+  ) WHERE nth <= source_seats GROUP BY ALL
+),
+quotas AS (
+  SELECT place, shard, shard_size, least(coalesce(seats, 0) * 64, shard_size * 3) AS quota
+  FROM shards LEFT JOIN shard_seats USING (place, shard)
+),
+streams AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY place, shard ORDER BY mark, doc_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM placed
+)
+SELECT doc_id, size, source_size, target, CASE WHEN shard_size = 0 THEN 0
+    ELSE (quota // shard_size) * size + greatest(0, least(size, quota % shard_size - start)) END::bigint AS taken
+FROM streams JOIN quotas USING (place, shard)
+"""
