@@ -687,6 +687,21 @@ def upgrade_windows(samples: DataFrame, span_ms: int = DAY_MS) -> DataFrame:
     )
 
 
+def within(rows: DataFrame, windows: DataFrame, on: list[str], start: Column, end: Column, slot_ms: int = DAY_MS) -> DataFrame:
+    """rows joined with the windows of equal ``on`` that hold their ts_ms, both ends included.
+
+    Both sides meet in slots of time, so a row is paired only with windows that touch its slot.
+    """
+    slot = lambda c: F.floor(c / slot_ms)
+    cut = windows.where(start <= end).withColumn("_slot", F.explode(F.sequence(slot(start), slot(end))))
+    return (
+        rows.withColumn("_slot", slot(F.col("ts_ms")))
+        .join(cut, [*on, "_slot"])
+        .where(F.col("ts_ms").between(start, end))
+        .drop("_slot")
+    )
+
+
 def upgrade_regressions(samples: DataFrame, factor: float = 1.5, needed: int = 5, lookback_ms: int = 6 * HOUR_MS) -> DataFrame:
     """Commands slower after a major upgrade than on the old major line, once per upgrade.
 
@@ -694,16 +709,10 @@ def upgrade_regressions(samples: DataFrame, factor: float = 1.5, needed: int = 5
     """
     windows = upgrade_windows(samples)
     window = ["connection_id", "opened_ms"]
-    old = samples.join(windows, "connection_id").where(
-        (F.col("major") == F.col("from_major")) & (F.col("ts_ms") >= F.col("opened_ms") - lookback_ms) & (F.col("ts_ms") <= F.col("opened_ms"))
-    )
+    conn, opened, closed = ["connection_id"], F.col("opened_ms"), F.col("closed_ms")
+    old = within(samples, windows, conn, opened - lookback_ms, opened).where(F.col("major") == F.col("from_major"))
     base = exact_quantiles(old, [*window, "command"], "p99_us", [Quantile("baseline_us", "linear", 0.5)]).where(F.col("n") >= 5)
-    after = (
-        _eligible(samples)
-        .join(windows, "connection_id")
-        .where((F.col("ts_ms") >= F.col("opened_ms")) & (F.col("ts_ms") <= F.col("closed_ms")))
-        .join(base.drop("n"), [*window, "command"])
-    )
+    after = within(_eligible(samples), windows, conn, opened, closed).join(base.drop("n"), [*window, "command"])
     bad = F.col("eligible") & (F.col("major") >= F.col("to_major")) & _degraded(F.col("p99_us"), F.col("baseline_us"), factor)
     runs = with_streak(after.withColumn("_bad", bad), [*window, "command"], ["ts_ms"], F.col("_bad"), "_streak")
     ripe = runs.where(F.col("_streak") >= needed)
@@ -727,9 +736,7 @@ def sustained_regressions(samples: DataFrame, factor: float = 2.0, needed: int =
     ).where("eligible")
     windows = upgrade_windows(samples).select("connection_id", F.col("opened_ms"), F.col("closed_ms"))
     owned = (
-        based.select(*keys, "ts_ms")
-        .join(windows, "connection_id")
-        .where((F.col("ts_ms") >= F.col("opened_ms")) & (F.col("ts_ms") <= F.col("closed_ms")))
+        within(based.select(*keys, "ts_ms"), windows, ["connection_id"], F.col("opened_ms"), F.col("closed_ms"))
         .select(*keys, "ts_ms")
         .distinct()
         .withColumn("_owned", F.lit(True))
@@ -835,9 +842,8 @@ def outcome_evaluation(
     ``adjustments`` has (proposal_id, category, applied_ms, until_ms, threshold, signal, before_rate);
     samples of the category recorded from the change on are judged at the new threshold.
     """
-    joined = samples.select("category", "ts_ms", "score", "result").join(adjustments, "category").where(
-        (F.col("ts_ms") >= F.col("applied_ms")) & (F.col("ts_ms") <= F.col("until_ms"))
-    )
+    rated = samples.select("category", "ts_ms", "score", "result")
+    joined = within(rated, adjustments, ["category"], F.col("applied_ms"), F.col("until_ms"))
     hit, score, t = F.col("result") == "hit", F.col("score"), F.col("threshold")
     counted = joined.groupBy("proposal_id", "signal", "before_rate").agg(
         F.count(F.lit(1)).alias("samples"),
