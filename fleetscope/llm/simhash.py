@@ -163,6 +163,11 @@ def one_of_each(docs: DataFrame, bits: int = 3, words_per_shingle: int = 3) -> D
     """
     key = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "tie")
     stays = _with_components(docs, bits, words_per_shingle).groupBy("root").agg(F.min(key).alias("stays"))
+    return smallest_of_each(docs, stays)
+
+
+def smallest_of_each(docs: DataFrame, stays: DataFrame) -> DataFrame:
+    """The rows of docs that stays names by structs stays (unknown, doc_id, tie), each once."""
     s, d = stays.select("stays.*").alias("s"), docs.withColumn("_tie", tie()).alias("d")
     same = (F.col("d._tie") == F.col("s.tie")) & F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))
     return d.join(s, same, "left_semi").dropDuplicates(["doc_id", "_tie"]).drop("_tie")
