@@ -60,7 +60,7 @@ def _knn_pivots(t: Tables):
 @query("knn_lsh_recall", "V1", "SELECT 5*count(*) AS neighbours, true AS recall_above_half FROM v_vec WHERE side = 'query'")
 def _lsh(t: Tables):
     exact = N.knn(queries(t), entries(t), 5)
-    found = N.lsh_recall(exact, N.knn_lsh(queries(t), entries(t), 5, dims=64, tables=12, bits=4))
+    found = N.lsh_recall(exact, N.knn_lsh(queries(t), entries(t), 5, dims=64, tables=24, bits=4))
     return found.select("neighbours", (F.col("found") / F.col("neighbours") > 0.5).alias("recall_above_half"))
 
 

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fleetscope import catalog
 from fleetscope.operators import knn as N
 from fleetscope.operators import memory as M
 from fleetscope.operators import semantic as S
@@ -67,6 +68,17 @@ def test_lsh_finds_near_copies(spark):
     assert r["neighbours"] == 200 and r["found"] / r["neighbours"] > 0.8
 
 
+@pytest.mark.parametrize("size", ["0.01", "0.1"])
+def test_lsh_recall_of_the_query(spark, monkeypatch, size):
+    """What knn_lsh_recall measures is 0.9 or more; the query itself returns what its SQL has."""
+    seen = []
+    recall = N.lsh_recall
+    monkeypatch.setattr(N, "lsh_recall", lambda *a: seen.append(recall(*a)) or seen[-1])
+    catalog.load().QUERIES["knn_lsh_recall"](spark, f"/root/testdata/sf{size}")
+    r = seen[0].first()
+    assert r["found"] >= 0.9 * r["neighbours"] > 0
+
+
 def test_lookup_without_candidates_is_a_miss(spark):
     q = vectors(spark, "query_id", [(1, [1, 0]), (2, [0, 0])]).withColumn("category", F.lit("c"))
     got = S.cache_lookup(q, vectors(spark, "entry_id", [(5, [1, 0.01])]), 0.1)
