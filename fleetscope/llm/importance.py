@@ -27,7 +27,7 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.llm.common import LOWER, UPPER, checkpointed, map_rows
@@ -201,3 +201,61 @@ def sampled_documents(
     """The rows of docs that resample() keeps, all columns; texts are scored again, not joined."""
     _, column, cut = _sampling(docs, labels, care, buckets, fit_rows, seed)
     return docs if cut is None else docs.where(column["noisy"] >= cut)
+
+
+def _words(text: str | None, buckets: int) -> list[int]:
+    """Buckets of the distinct words of a text, without the marks around them."""
+    words = set((text or "").encode("utf-8", "surrogatepass").translate(FOLD).split())
+    return sorted({zlib.crc32(w.strip(b".,;:!?")) % buckets for w in words})
+
+
+def _present(rows: Iterable[tuple], buckets: int) -> Iterator[tuple]:
+    """Documents that hold each word, of each kind; bucket -1 counts all."""
+    for text, toxic in rows:
+        yield int(toxic), -1, 1
+        for bucket in _words(text, buckets):
+            yield int(toxic), bucket, 1
+
+
+def not_toxic(
+    docs: DataFrame,
+    labels: DataFrame,
+    care: float = 20.0,
+    buckets: int = BUCKETS,
+    fit_rows: int = FIT_ROWS,
+    seed: int = 7,
+) -> Column:
+    """A condition on text: no word of it tells of labelled toxic documents.
+
+    A word's weight is the log ratio of the shares of toxic and of other labelled documents
+    that hold it, less three standard errors; a text has the highest weight of its words. The
+    level it may reach is read from held-out labels, as for the importance. Without a toxic
+    label, or without any other, everything passes.
+    """
+    if "toxic" not in labels.columns:
+        return F.lit(True)
+    one = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
+    one = one.groupBy("doc_id").agg(F.max(F.col("toxic") == 1).alias("toxic"))
+    one = checkpointed(one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows))
+    known = docs.select("doc_id", "text").join(F.broadcast(one), "doc_id")
+    held_out = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(HELD_OUT)) == 0
+    rows = map_rows(known.where(~held_out).select("text", "toxic"), partial(_present, buckets=buckets), "kind int, bucket int, n bigint")
+    counts, total = np.zeros((2, buckets)), np.zeros(2)
+    for kind, bucket, n in rows.groupBy("kind", "bucket").agg(F.sum("n")).toPandas().itertuples(index=False):
+        if bucket < 0:
+            total[kind] = n
+        else:
+            counts[kind, bucket] = n
+    if not total.all():
+        return F.lit(True)
+    other, toxic = counts + 0.5
+    ratio = np.log(toxic / (total[1] + 1)) - np.log(other / (total[0] + 1))
+    weights = np.maximum(ratio - 3 * np.sqrt(1 / toxic + 1 / other), 0)
+
+    @F.pandas_udf("double")
+    def highest(texts: pd.Series) -> pd.Series:
+        return pd.Series([float(weights[_words(t, buckets)].max(initial=0)) for t in texts], dtype="float64")
+
+    seen = known.where(held_out).select(highest("text").alias("weight"), "toxic").toPandas()
+    level = best_level(-seen["weight"].to_numpy(), ~seen["toxic"].to_numpy(dtype=bool), care)
+    return F.lit(True) if level is None else highest("text") <= -level
