@@ -8,7 +8,7 @@ import corpus_pipeline
 from fleetscope.llm.common import n_words, table, written
 from fleetscope.llm.queries import ORACLES, QUERIES
 from tests.conftest import SMALL
-from tests.llm.test_operators import plain_components, plain_fingerprint
+from tests.llm.test_near_copies import plain_kept
 from tools.check_queries import TABLES, compare
 
 
@@ -37,9 +37,8 @@ def test_stages(spark):
     before, after = kept["line dedup"]
     assert before.select("doc_id").exceptAll(after.select("doc_id")).count() == 0
     before, after = kept["near dedup"]
-    rows = before.select("doc_id", "text").collect()
-    roots = plain_components([r[0] for r in rows], [plain_fingerprint(r[1]) for r in rows])
-    assert sorted(r["doc_id"] for r in after.collect()) == sorted(set(roots))
+    rows = [tuple(r) for r in before.select("doc_id", "text").collect()]
+    assert sorted(r["doc_id"] for r in after.collect()) == plain_kept(rows)
     before, after = kept["source mix"]
     words = [x.agg(F.sum(n_words(F.col("text")))).first()[0] for x in (before, after)]
     assert abs(words[0] - words[1]) < 64 * 64
