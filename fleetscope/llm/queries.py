@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 from fleetscope.llm import (
     apportion,
     byte_bpe,
+    hard_negatives,
     host_reputation,
     importance,
     line_rules,
     merkle,
     pii_tagger,
+    ranked_search,
     repeats,
     simhash,
     site_lines,
+    toxicity,
 )
 from fleetscope.llm.common import table
 
@@ -95,6 +98,21 @@ def op10_repeats(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, folder, "documents")).drop("spans")
 
 
+@query
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, folder, "embeddings"))
+
+
+@query
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op13_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxic_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 ORACLES["op8_site_lines"] = r"""
 WITH lines AS (
   SELECT source, doc_id, unnest(string_split(text, chr(10))) AS line FROM documents
@@ -301,3 +319,56 @@ SELECT doc_id, size, source_size, target, CASE WHEN shard_size = 0 THEN 0
     ELSE (quota // shard_size) * size + greatest(0, least(size, quota % shard_size - start)) END::bigint AS taken
 FROM streams JOIN quotas USING (place, shard)
 """
+
+ORACLES["op11_hard_negatives"] = r"""
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::double)::bigint) AS units
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+    coalesce(list_sum(list_transform(range(1, least(len(a.units), len(r.units)) + 1), lambda i: a.units[i] * r.units[i])), 0)::bigint AS score
+  FROM rows a JOIN rows r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0
+),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::int AS rank
+FROM positives p JOIN scored s ON p.anchor_id = s.anchor_id AND NOT s.same
+  AND 50 * p.positive_score <= 100 * s.score AND 100 * s.score <= 95 * p.positive_score
+QUALIFY rank <= 3
+"""
+
+ORACLES["op12_ranked_search"] = r"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+doc_terms AS (
+  SELECT rid, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+),
+lengths AS (SELECT rid, count(*) AS n FROM doc_terms GROUP BY rid),
+whole AS (SELECT count(*) AS documents, sum(n)::bigint AS terms FROM lengths),
+item_terms AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+),
+tfs AS (SELECT rid, term, count(*) AS tf FROM doc_terms WHERE term IN (SELECT term FROM item_terms) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(documents) + 2) / (2 * count(*) + 1)))::bigint AS w
+  FROM tfs, whole GROUP BY term
+),
+parts AS (
+  SELECT rid, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * documents) // terms))) AS part
+  FROM tfs JOIN lengths USING (rid) JOIN weights USING (term), whole
+),
+scores AS (
+  SELECT item_id, rid, sum(part)::bigint AS score FROM item_terms JOIN parts USING (term) GROUP BY ALL HAVING sum(part) > 0
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::int AS rank, doc_id, score
+FROM scores JOIN docs USING (rid)
+QUALIFY rank <= 10
+"""
