@@ -344,8 +344,9 @@ def fork_memory_risk(polls: DataFrame, warning: float = 0.8, critical: float = 0
     keys = ["connection_id"]
     known = F.coalesce(F.col("system") > 0, F.lit(False))
     basis = F.coalesce("rss", "used")
-    live = (basis + F.coalesce("cow", F.lit(0))) / F.col("system")
-    projected = (basis + F.col("last_cow")) / F.col("system")
+    system = F.when(known, F.col("system"))  # a poll without it has no share
+    live = (basis + F.coalesce("cow", F.lit(0))) / system
+    projected = (basis + F.col("last_cow")) / system
     pressed = (F.coalesce("last_cow", F.lit(0)) > 0) & F.coalesce(F.col("writes_per_sec") >= write_rate, F.lit(False))
     score = (
         F.when(~known, 0)

@@ -130,7 +130,7 @@ def failover_churn(window_ms: int = 60_000, changes: int = 3, horizon_ms: int =
         state["bumps"], state["flips"] = recent(state["bumps"]), recent(state["flips"])
         n = max(len(state["bumps"]), len(state["flips"]))
         if n >= changes:
-            again = state["fired"] is not None and row.ts_ms - state["fired"] <= horizon_ms
+            again = state.get("fired") is not None and row.ts_ms - state["fired"] <= horizon_ms
             state.update(bumps=[], flips=[], fired=row.ts_ms)
             yield (row.ts_ms, n, "critical" if again else "warning")
 
