@@ -17,14 +17,19 @@ from fleetscope.operators.quantiles import Quantile, exact_quantiles
 from fleetscope.operators.series import (
     DAY_MS,
     HOUR_MS,
+    last_known,
     over_trailing_range,
     over_trailing_rows,
+    previous,
+    running_sum,
+    scan,
     with_last_known,
     with_previous,
     with_row_index,
     with_running_sum,
     with_streak,
 )
+from fleetscope.operators.series import streak as run_of
 from fleetscope.operators.timeseries import level_escalations, rolling_baseline
 from fleetscope.streaming import folds
 from fleetscope.streaming.runner import fold_history
@@ -233,9 +238,13 @@ def first_escalations(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     Per episode these are its first critical row and its first warning row before that, so an
     episode is aggregated and never gathered.
     """
-    episodes = with_episode(df, keys, order, F.col(level) == 0, "_episode").where(F.col(level) > 0)
+    return escalations_of(with_episode(df, keys, order, F.col(level) == 0, "_episode"), keys, order, level)
+
+
+def escalations_of(episodes: DataFrame, keys: Sequence[str], order: Sequence[str], level: str) -> DataFrame:
+    """The same over rows with their ``_episode``, the number of rows of level zero so far."""
     at = F.struct(*order)
-    heads = episodes.groupBy(*keys, "_episode").agg(
+    heads = episodes.where(F.col(level) > 0).groupBy(*keys, "_episode").agg(
         F.min(F.when(F.col(level) == 1, at)).alias("_w"), F.min(F.when(F.col(level) == 2, at)).alias("_c")
     )
     events = F.array_compact(
@@ -257,13 +266,13 @@ def client_lockout(polls: DataFrame, used_pct: float = 85.0, streak: int = 3) ->
     """
     keys = ["connection_id"]
     usable = polls.where(F.col("clients").isNotNull() & (F.col("max_clients") > 0))
-    before = with_last_known(usable, keys, POLL, {"_base": "rejected"}, DAY_MS, before=True)
-    refusing = F.coalesce(F.greatest(F.lit(0), F.col("rejected") - F.col("_base")), F.lit(0)) > 0
     high = F.col("clients") / F.col("max_clients") * 100 >= used_pct
-    rated = with_streak(before.withColumn("_refusing", refusing), keys, POLL, high, "_streak")
+    rated = scan(usable, keys, POLL, {"_base": last_known("rejected", before=True), "_streak": run_of(high)})
+    refusing = F.coalesce(F.greatest(F.lit(0), F.col("rejected") - F.col("_base")), F.lit(0)) > 0
     held = F.col("_streak") >= streak
-    level = F.when(F.col("_refusing") & held, 2).when(F.col("_refusing") | held, 1).otherwise(0)
-    return first_escalations(rated.withColumn("level", level), keys, POLL, "level")
+    level = F.when(refusing & held, 2).when(refusing | held, 1).otherwise(0)
+    episodes = scan(rated.withColumn("level", level), keys, POLL, {"_episode": running_sum((F.col("level") == 0).cast("bigint"))})
+    return escalations_of(episodes, keys, POLL, "level")
 
 
 def load_saturation(polls: DataFrame, warning: float = 0.8, critical: float = 0.95, hold: int = 3) -> DataFrame:
@@ -507,22 +516,26 @@ def resync_loop(polls: DataFrame, min_ms: int = 300_000, cycles: int = 2) -> Dat
     means the link came up in between.
     """
     keys = ["connection_id"]
-    down = F.col("role").isin("slave", "replica") & (F.col("link") == "down")
-    outages = with_episode(polls.withColumn("_down", down), keys, POLL, ~down, "_outage").where("_down")
-    span = [*keys, "_outage"]
-    before = with_last_known(outages, span, POLL, {"_base": "down_s", "_was": "syncing"}, DAY_MS, before=True)
-    dropped = F.coalesce(F.col("down_s") < F.col("_base"), F.lit(False))
-    windows = with_episode(before.withColumn("_cut", dropped), span, POLL, F.col("_cut"), "_window")
-    inner = [*span, "_window"]
-    ended = ~F.col("_cut") & F.coalesce(F.col("_was"), F.lit(False)) & ~F.col("syncing")
-    counted = with_running_sum(windows, inner, POLL, {"failed_cycles": ended.cast("bigint")}, DAY_MS)
-    starts = windows.groupBy(*inner).agg(F.min("ts_ms").alias("_start"))
-    late = counted.join(starts, inner).where(
-        (F.col("ts_ms") - F.col("_start") >= min_ms) & (F.col("failed_cycles") >= cycles)
-    )
+    down = F.coalesce(F.col("role").isin("slave", "replica") & (F.col("link") == "down"), F.lit(False))
+    # What a poll of the same outage last said: a poll outside of outages says nothing.
+    said = lambda c: last_known(F.when(~F.col("_down"), F.struct(F.lit(None).cast(kinds[c]).alias("v"))).when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"))), before=True)
+    kinds = dict(polls.dtypes)
+    before = scan(
+        polls.withColumn("_down", down), keys, POLL,
+        {"_base": said("down_s"), "_was": said("syncing"), "_before": previous("_down")},
+    ).where("_down")
+    dropped = F.coalesce(F.col("down_s") < F.col("_base.v"), F.lit(False))
+    starts = dropped | ~F.coalesce("_before", F.lit(False))
+    ended = ~dropped & F.coalesce(F.col("_was.v"), F.lit(False)) & ~F.col("syncing")
+    counted = scan(before.withColumn("_starts", starts), keys, POLL, {"_ended": running_sum(F.coalesce(ended, F.lit(False)).cast("bigint"))})
+    # A window's first poll and how many syncs had failed by then; none fails on that poll.
+    first = F.when(F.col("_starts"), F.struct("ts_ms", "id", "_ended"))
+    windows = scan(counted, keys, POLL, {"_first": last_known(first)})
+    failed = F.col("_ended") - F.col("_first._ended")
+    late = windows.where((F.col("ts_ms") - F.col("_first.ts_ms") >= min_ms) & (failed >= cycles))
     return (
-        late.groupBy(*inner)
-        .agg(F.min_by(F.struct(*POLL, "failed_cycles"), F.struct(*POLL)).alias("f"))
+        late.groupBy(*keys, F.col("_first.ts_ms").alias("_s"), F.col("_first.id").alias("_i"))
+        .agg(F.min_by(F.struct(*POLL, failed.alias("failed_cycles")), F.struct(*POLL)).alias("f"))
         .select(*keys, "f.*")
     )
 

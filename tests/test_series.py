@@ -126,3 +126,54 @@ def test_downsample(spark, n, points):
     got = sorted(r["id"] for r in downsample(df, KEYS, ORDER, points).collect())
     want = list(range(n)) if n <= points else [int(i * (n / points)) for i in range(points - 1)] + [n - 1]
     assert got == want
+
+
+@pytest.fixture(scope="module")
+def burst(spark):
+    """Most rows in one key and one hour, some of them in one minute; a few rows long before and after."""
+    rng = random.Random(9)
+    out = []
+    for i in range(6000):
+        if rng.random() < 0.9:
+            key, ts = "hot", 30 * S.DAY_MS + 5 * S.HOUR_MS + (rng.randrange(S.HOUR_MS) if rng.random() < 0.7 else 1_000_000 + rng.randrange(60_000))
+        else:
+            key, ts = rng.choice(["hot", "a", "b"]), rng.randrange(60) * S.DAY_MS + rng.randrange(S.DAY_MS)
+        out.append((key, ts, i, rng.randrange(1000), rng.randrange(1000) if rng.random() < 0.1 else None, rng.random() < 0.9))
+    return spark.createDataFrame(out, "k string, ts long, id long, v long, opt long, up boolean").cache()
+
+
+@pytest.mark.parametrize("width", [S.DAY_MS, S.HOUR_MS, 7 * S.DAY_MS])
+def test_one_scan_over_data_sized_slices(burst, monkeypatch, width):
+    monkeypatch.setattr(S, "SLICE_ROWS", 100)
+    wanted = {"p": S.previous("v"), "l": S.last_known("opt"), "b": S.last_known("opt", before=True), "s": S.running_sum("v"), "n": S.streak("up")}
+    ours = S.scan(burst, KEYS, ORDER, wanted, width)
+    most = max(r["count"] for r in ours.groupBy("k", S.SLICE).count().collect())
+    assert most <= (400 if width > S.DAY_MS else 250)  # even within the dense minute
+    whole, earlier = (plain().rowsBetween(Window.unboundedPreceding, end) for end in (0, -1))
+    off = F.max(F.when(~F.col("up"), F.col("_n"))).over(whole)
+    want = burst.withColumn("_n", F.row_number().over(plain())).select(
+        "id", F.lag("v").over(plain()).alias("p"), F.last("opt", ignorenulls=True).over(whole).alias("l"),
+        F.last("opt", ignorenulls=True).over(earlier).alias("b"), F.sum("v").over(whole).alias("s"),
+        (F.col("_n") - F.coalesce(off, F.lit(0))).cast("bigint").alias("n"),
+    )
+    assert rows(ours, "id", "p", "l", "b", "s", "n") == rows(want, "id", "p", "l", "b", "s", "n")
+
+
+def test_rows_are_dealt_out_once(spark, burst, tmp_path):
+    """The rows and the summaries of one scan read the same shuffle."""
+    burst.write.parquet(str(tmp_path / "t"))
+    one = S.scan(spark.read.parquet(str(tmp_path / "t")), KEYS, ORDER, {"p": S.previous("v")})
+    one.collect()
+    plan = one._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert sum("REPARTITION_BY_COL" in x for x in plan.split("\n")) - plan.count("ReusedExchange") <= 1, plan
+
+
+def test_a_second_scan_keeps_the_slices(burst):
+    one = S.scan(burst, KEYS, ORDER, {"p": S.previous("v")})
+    two = S.scan(one, KEYS, ORDER, {"s": S.running_sum("p")})
+    assert rows(two, "id", "s") == rows(S.with_running_sum(S.with_previous(burst, KEYS, ORDER, {"p": "v"}), KEYS, ORDER, {"s": "p"}), "id", "s")
+
+
+def test_scans_of_empty_tables(spark):
+    none = spark.createDataFrame([], "k string, ts long, id long, v long")
+    assert S.scan(none, KEYS, ORDER, {"p": S.previous("v"), "s": S.running_sum("v")}).collect() == []
