@@ -241,3 +241,18 @@ def test_scores_do_not_know_ids_or_held_out_labels(spark):
     turned = labels.withColumn("toxic", F.when(toxicity.held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     a, b = (sorted(map(tuple, toxicity.toxic_scores(docs, x).collect())) for x in (labels, turned))
     assert a == b
+
+
+def test_dotted_numbers_in_linear_time_are_the_pattern():
+    import time
+
+    from fleetscope.llm.pii_patterns import PATTERNS, base_spans, spans_of
+
+    rng = random.Random(6)
+    for _ in range(3000):
+        text = "".join(rng.choice("0123.. 5a") for _ in range(rng.randint(0, 40)))
+        assert list(spans_of("ip", text)) == [m.span() for m in PATTERNS["ip"].finditer(text)]
+    started = time.perf_counter()
+    base_spans("7" * 1_000_000)
+    base_spans("1." * 500_000)
+    assert time.perf_counter() - started < 5
