@@ -287,7 +287,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Score
         return Scorer(model, {}, -30.0 if not total[1] else 30.0)
     buckets = standing_out(counts[1], counts[0], total[1], total[0], FEATURES)
     matched = map_rows(known, partial(_matching, model=model, buckets=frozenset(buckets.tolist())), "toxic boolean, features array<string>")
-    rows = sorted(((r["toxic"], r["features"]) for r in matched.toLocalIterator()), key=repr)  # fit_rows at most
+    rows = sorted(((r["toxic"], r["features"]) for r in matched.collect()), key=repr)  # fit_rows at most
     y = np.array([r[0] for r in rows], dtype=np.float64)
     names = sorted({f for r in rows for f in r[1]})
     place = {f: i for i, f in enumerate(names)}
