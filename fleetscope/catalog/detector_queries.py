@@ -85,6 +85,34 @@ def _alerts(t: Tables):
     return D.threshold_alerts(readings, subscribers)
 
 
+_ALERT_OF = {"view": "memory_critical", "signup": "connection_critical", "click": "compliance_memory", "error": "slowlog_count", "purchase": "replication_lag_seconds"}
+_ALERTS = list(_ALERT_OF.values())
+_ALERT_SQL = "CASE metric " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _ALERT_OF.items()) + " END"
+_DEFAULT_SQL = "CASE alert " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in D.ALERT_DEFAULTS.items()) + " END"
+
+
+@query(
+    "threshold_alerts_by_kind",
+    "T3",
+    f"""WITH s AS (SELECT s_name AS subscriber, CASE s_suppkey % 5 {" ".join(f"WHEN {i} THEN '{a}'" for i, a in enumerate(_ALERTS))} END AS alert,
+        CASE WHEN s_suppkey % 4 <> 0 THEN CAST(200 + s_suppkey AS DOUBLE) END AS threshold, s_suppkey % 3 <> 2 AS above FROM supplier),
+      l AS (SELECT *, coalesce(threshold, CAST({_DEFAULT_SQL} AS DOUBLE)) AS lim FROM s),
+      m AS (SELECT connection_id, {_ALERT_SQL} AS alert, ts_ms, id, value FROM v_metric),
+      k AS (SELECT *, CASE WHEN CASE WHEN above THEN value >= lim ELSE value <= lim END THEN 1 WHEN CASE WHEN above THEN value < lim*CAST(0.9 AS DOUBLE) ELSE value > lim*(2-CAST(0.9 AS DOUBLE)) END THEN 0 END AS mk FROM m JOIN l USING (alert)),
+      b AS (SELECT *, lag(mk) OVER (PARTITION BY subscriber, connection_id ORDER BY ts_ms, id) AS b FROM k WHERE mk IS NOT NULL)
+    SELECT subscriber, connection_id, alert, ts_ms, id, value, lim AS limit_value FROM b WHERE mk = 1 AND coalesce(b, 0) = 0""",
+)
+def _alerts_by_kind(t: Tables):
+    key = F.col("s_suppkey")
+    name = lambda names, at: F.element_at(F.array(*[F.lit(x) for x in names]), at)
+    subscribers = t.table("supplier").select(
+        F.col("s_name").alias("subscriber"), name(_ALERTS, (key % 5 + 1).cast("int")).alias("alert"),
+        F.when(key % 4 != 0, (key + 200).cast("double")).alias("threshold"), (key % 3 != 2).alias("above"),
+    )
+    kinds = F.create_map(*[F.lit(x) for pair in _ALERT_OF.items() for x in pair])
+    return D.threshold_alerts(t.metric.withColumn("alert", kinds[F.col("metric")]).drop("metric", "cents"), subscribers)
+
+
 @query(
     "client_lockout",
     "T5",

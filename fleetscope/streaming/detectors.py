@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetscope.functions.identity import audit_ip
-from fleetscope.operators.quantiles import Quantile, exact_quantiles
+from fleetscope.operators.quantiles import Quantile, exact_quantiles, with_trailing_median
 from fleetscope.operators.series import (
     DAY_MS,
     HOUR_MS,
@@ -203,9 +203,11 @@ def threshold_alerts(
 ) -> DataFrame:
     """First crossings of a threshold, armed again only past the hysteresis band.
 
-    A latch: only crossings and recoveries matter, and a crossing fires when the last of
-    both was a recovery. ``readings`` has (connection_id, alert, ts_ms, id, value);
-    ``subscribers`` (subscriber, alert, threshold or null, above).
+    A latch fires when its last change before was a recovery. Between two readings only the limits between
+    their values change: these are found by binary search in the sorted limits of the alert, so rows come out
+    per change and never per reading and setting. The limits of one alert travel as one array, 24 bytes a
+    distinct setting. ``readings`` has (connection_id, alert, ts_ms, id, value), where a null value is no
+    reading; ``subscribers`` (subscriber, alert, threshold or null, above).
     """
     table = F.create_map(*[x for k, v in defaults.items() for x in (F.lit(k), F.lit(v))])
     asked = subscribers.withColumn("limit_value", F.coalesce("threshold", table[F.col("alert")])).select(
@@ -213,20 +215,63 @@ def threshold_alerts(
     )
     # Subscribers with the same setting share one latch; only its alerts are handed to each of them.
     rule = ["alert", "limit_value", "above"]
-    rows = readings.join(asked.select(*rule).distinct(), "alert")
-    crossed = F.when(F.col("above"), F.col("value") >= F.col("limit_value")).otherwise(
-        F.col("value") <= F.col("limit_value")
-    )
-    recovered = F.when(F.col("above"), F.col("value") < F.col("limit_value") * factor).otherwise(
-        F.col("value") > F.col("limit_value") * (2 - factor)
-    )
-    keys = ["connection_id", *rule]
-    marks = rows.withColumn("_mark", F.when(crossed, 1).when(recovered, 0)).where(F.col("_mark").isNotNull())
-    seen = with_previous(marks, keys, POLL, {"_before": "_mark"}, DAY_MS)
+    # Limits from above are mirrored, so that both kinds are crossed by rising; recovered is below "rest".
+    rise = F.when(F.col("above"), F.col("limit_value")).otherwise(-F.col("limit_value"))
+    rest = F.least(rise, rise * F.when(F.col("above"), factor).otherwise(2 - factor))
+    limits = (
+        asked.dropna(subset=rule)
+        .select(*rule)
+        .distinct()
+        .groupBy("alert", "above")
+        .agg(F.array_sort(F.collect_list(F.struct(rise.alias("rise"), rest.alias("rest"), "limit_value"))).alias("_limits"))
+    )
+    rows = with_previous(
+        readings.where(F.col("value").isNotNull()), ["connection_id", "alert"], POLL, {"_from": "value"}, DAY_MS
+    ).join(limits, "alert")
+    level = lambda c: F.when(F.col("above"), F.col(c)).otherwise(F.when(F.isnan(c), float("-inf")).otherwise(-F.col(c)))
+    moved = rows.withColumns({"_to": level("value"), "_from": level("_from")})
+    met = lambda field, c: F.when(F.col(c).isNull(), 0).otherwise(count_upto("_limits", field, F.col(c)))
+    # An order of both counts is an order of the values: rising changes come from one end, falling ones from the other.
+    changes = moved.withColumns(
+        {"_r0": met("rise", "_from"), "_r1": met("rise", "_to"), "_q0": met("rest", "_from"), "_q1": met("rest", "_to")}
+    ).withColumn(
+        "_change",
+        F.explode(
+            F.concat(
+                _marked("_limits", F.col("_r0"), F.col("_r1"), 1),
+                _marked("_limits", F.col("_q1"), F.col("_q0"), 0),
+            )
+        ),
+    )
+    marks = changes.select("connection_id", "alert", "above", *POLL, "value", "_change.*")
+    seen = with_previous(marks, ["connection_id", *rule], POLL, {"_before": "_mark"}, DAY_MS)
     fired = seen.where((F.col("_mark") == 1) & (F.coalesce("_before", F.lit(0)) == 0))
     return fired.join(asked, rule).select("subscriber", "connection_id", "alert", *POLL, "value", "limit_value")
 
 
+def _marked(limits: str, start: Column, end: Column, mark: int) -> Column:
+    """The limits at places start + 1 to end, with their mark."""
+    part = F.slice(F.col(limits), start + 1, F.greatest(end - start, F.lit(0)))
+    return F.transform(part, lambda x: F.struct(x["limit_value"].alias("limit_value"), F.lit(mark).alias("_mark")))
+
+
+def count_upto(values: str, field: str, x: Column) -> Column:
+    """How many structs of an array have a field of at most x, by binary search; the array ascends by the field."""
+    size = F.size(values)
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.shiftright(s["low"] + s["high"], 1)
+        right = F.get(F.col(values), middle)[field] <= x
+        open_ = s["low"] < s["high"]
+        return F.struct(
+            F.when(open_ & right, middle + 1).otherwise(s["low"]).alias("low"),
+            F.when(open_ & ~right, middle).otherwise(s["high"]).alias("high"),
+        )
+
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(size + 1)).cast("int"))
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("low"), size.alias("high")), halve, lambda s: s["low"])
+
+
 def with_episode(df: DataFrame, keys: Sequence[str], order: Sequence[str], ends: Column, out: str) -> DataFrame:
     """Number of rows so far that end an episode: equal for all rows of one episode."""
     return with_running_sum(df, keys, order, {out: ends.cast("bigint")}, DAY_MS)
@@ -740,13 +785,8 @@ def upgrade_regressions(samples: DataFrame, factor: float = 1.5, needed: int = 5
 def sustained_regressions(samples: DataFrame, factor: float = 2.0, needed: int = 5, wait_ms: int = 1_800_000) -> DataFrame:
     """Commands that stay at twice their median of the last day, outside open upgrade windows."""
     keys = ["connection_id", "command"]
-    based = over_trailing_range(
-        _eligible(samples),
-        keys,
-        "ts_ms",
-        DAY_MS,
-        {"baseline_us": F.expr("percentile(p99_us, 0.5)"), "_n": F.count("p99_us")},
-        until=5 * MINUTE_MS,
+    based = with_trailing_median(
+        _eligible(samples), keys, "ts_ms", "p99_us", DAY_MS, 5 * MINUTE_MS, "baseline_us", "_n"
     ).where("eligible")
     windows = upgrade_windows(samples).select("connection_id", F.col("opened_ms"), F.col("closed_ms"))
     owned = (
