@@ -405,6 +405,17 @@ def _class_pairs(t: Tables):
     return pairs.positive_class_pairs(t.vec, "label", "vec_id")
 
 
+@query(
+    "class_pairs_ring",
+    "S14",
+    """WITH p AS (SELECT label, vec_id AS x, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM v_vec),
+      r AS (SELECT p.label, p.x, q.x AS y FROM p, range(1, 5) t(d) JOIN p q ON q.label = p.label AND q.i = (p.i + d) % p.n WHERE d < p.n)
+    SELECT DISTINCT label, least(x, y) AS a, greatest(x, y) AS b FROM r""",
+)
+def _class_ring(t: Tables):
+    return pairs.class_pairs(t.vec, "label", "vec_id", 4)
+
+
 @query(
     "class_pairs_negative",
     "S14",

@@ -528,30 +528,30 @@ def control_plane_saturation(polls: DataFrame, events: DataFrame, cpu_pct: float
     hot = F.coalesce(F.col("cpu_pct") >= cpu_pct, F.lit(False)) & ~F.col("restart")
     counted = with_streak(known, keys, POLL, hot, "_streak")
     episodes = with_episode(counted, keys, POLL, ~hot, "episode")
-    drops = polls.where(F.col("replica_drops") > 0).select(
-        *keys, F.col("ts_ms"), F.array_repeat(F.col("ts_ms"), F.col("replica_drops").cast("int")).alias("drops")
-    )
-    kinds = drops.withColumn("_d", F.explode("drops")).select(*keys, "ts_ms", F.lit(1).alias("_kind")).unionByName(
-        events.select(*keys, "ts_ms", F.lit(2).alias("_kind"))
-    )
+    # Evidence comes before the polls of its time (_kind), so that totals up to a poll hold all of that time.
+    kinds = polls.where(F.col("replica_drops") > 0).select(
+        *keys, "ts_ms", F.lit(1).alias("_kind"), F.col("replica_drops").cast("bigint").alias("_drops")
+    ).unionByName(events.select(*keys, "ts_ms", F.lit(1).alias("_kind"), F.col("ts_ms").alias("_event")), allowMissingColumns=True)
     rows = episodes.where((F.col("_streak") >= streak) | F.col("restart")).select(
-        *keys, *POLL, "episode", "restart", F.lit(0).alias("_kind")
+        *keys, *POLL, "episode", "restart", F.lit(2).alias("_kind")
     )
-    both = rows.unionByName(kinds, allowMissingColumns=True)
+    both = with_running_sum(
+        rows.unionByName(kinds, allowMissingColumns=True), keys, ["ts_ms", "_kind", "id"],
+        {"total": F.coalesce("_drops", F.lit(0).cast("bigint"))}, DAY_MS,
+    )
     evidence = over_trailing_range(
-        both,
-        keys,
-        "ts_ms",
-        MINUTE_MS,
-        {
-            "drops": F.collect_list(F.when(F.col("_kind") == 1, F.col("ts_ms"))),
-            "events": F.collect_list(F.when(F.col("_kind") == 2, F.col("ts_ms"))),
-        },
-    ).where(F.col("_kind") == 0)
+        both, keys, "ts_ms", MINUTE_MS,
+        {"recent": F.sum(F.coalesce("_drops", F.lit(0).cast("bigint"))), "event_ms": F.max("_event")},
+    ).where(F.col("_kind") == 2)
     ready = evidence.join(spikes, [*keys, *POLL], "left").withColumn("rtt_spike", F.coalesce("rtt_spike", F.lit(False)))
-    return fold_history(
-        ready.drop("_kind"), keys, POLL, folds.saturation_episode(), "ts_ms bigint, id bigint, reasons string"
-    )
+    # A new episode after a minute without rows owes nothing to what was before: the fold starts anew there.
+    before = with_previous(ready.drop("_kind", "_drops", "_event"), keys, POLL, {"_last": "ts_ms", "_was": "episode"}, DAY_MS)
+    fresh = F.coalesce((F.col("ts_ms") - F.col("_last") > MINUTE_MS) & (F.col("episode") != F.col("_was")), F.lit(True))
+    parts = with_running_sum(before.withColumn("_fresh", fresh.cast("bigint")), keys, POLL, {"_part": "_fresh"}, DAY_MS)
+    found = fold_history(
+        parts.drop("_last", "_was", "_fresh"), [*keys, "_part"], POLL, folds.saturation_episode(), "ts_ms bigint, id bigint, reasons string"
+    )
+    return found.drop("_part")
 
 
 def resync_loop(polls: DataFrame, min_ms: int = 300_000, cycles: int = 2) -> DataFrame:

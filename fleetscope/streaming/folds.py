@@ -82,28 +82,35 @@ def pending_costs(hold_ms: int):
 
 
 def saturation_episode():
-    """First corroborated row of a busy episode; evidence must be newer than the last finding or restart."""
+    """First corroborated row of a busy episode; evidence must be newer than the last finding or restart.
+
+    Rows carry ``recent`` (dropped replicas of the last minute), ``total`` (all so far) and ``event_ms`` (the last
+    event of the last minute), so what is newer than the floor is a difference of totals.
+    """
 
     def step(state, row):
         if row.restart:
-            state["floor"] = row.ts_ms
-            state["episode"] = None
+            state.update(floor=row.ts_ms, base=row.total, episode=None)
             return
         if state.get("episode") == row.episode:
             return
         floor = state.get("floor")
-        fresh = lambda times: sum(1 for t in (times if times is not None else []) if floor is None or t > floor)
-        drops, events = fresh(row.drops), fresh(row.events)
-        reasons = [n for n, ok in (("rtt", row.rtt_spike), ("events", events > 0)) if ok]
-        if drops >= 2 or (drops == 1 and reasons):
-            reasons.append("drops")
+        drops = row.recent if floor is None else min(row.recent, row.total - state["base"])
+        event = row.event_ms is not None and (floor is None or row.event_ms > floor)
+        reasons = saturation_reasons(row.rtt_spike, event, drops)
         if reasons:
-            state["episode"], state["floor"] = row.episode, row.ts_ms
+            state.update(floor=row.ts_ms, base=row.total, episode=row.episode)
             yield (row.ts_ms, row.id, "+".join(reasons))
 
     return step
 
 
+def saturation_reasons(rtt_spike: bool, event: bool, drops: int) -> list[str]:
+    """What corroborates a busy processor; one dropped replica only does beside something else."""
+    reasons = [n for n, ok in (("rtt", rtt_spike), ("events", event)) if ok]
+    return [*reasons, "drops"] if drops >= 2 or (drops == 1 and reasons) else reasons
+
+
 def failover_churn(window_ms: int = 60_000, changes: int = 3, horizon_ms: int = 120_000):
     """Epoch bumps and owner flips of one shard; lower epochs and health flaps are no elections."""
 

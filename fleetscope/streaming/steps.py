@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from fleetscope.streaming import folds
 from fleetscope.streaming.detectors import ALERT_DEFAULTS, MINUTE_MS, PRESSURE_MEMORY_MS
+from fleetscope.streaming.folds import saturation_reasons
 from fleetscope.streaming.live import DAY_MS, Live
 
 CONNECTION = ("connection_id",)
@@ -62,6 +63,57 @@ def threshold_alerts(
     )
 
 
+def control_plane_saturation(cpu_pct: float = 90.0, streak: int = 3) -> Live:
+    """A busy processor beside slow probes, control-plane events or dropped replicas, on polls and events in one stream.
+
+    Rows have ``event`` (true for a control-plane event, whose other columns are null). Held are 30 probe times, the
+    drops of the last minute and the time of the last event.
+    """
+
+    def step(state, rows):
+        now = rows[0].ts_ms
+        if any(r.event for r in rows):
+            state["event"] = now
+        fallen = sum(r.replica_drops or 0 for r in rows if not r.event)
+        held = [x for x in zip(state.get("drop_ms") or [], state.get("drop_n") or []) if x[0] >= now - MINUTE_MS]
+        held += [(now, fallen)] if fallen > 0 else []
+        state["drop_ms"], state["drop_n"] = [list(x) for x in zip(*held)] or [[], []]
+        for row in rows:
+            if not row.event:
+                yield from poll(state, row, held)
+
+    def poll(state, row, held):
+        probes = [] if row.restart else state.get("probes") or []
+        spike = False
+        if row.rtt_ms is not None:
+            spike = len(probes) >= 5 and row.rtt_ms >= 100 and row.rtt_ms >= sorted(probes)[len(probes) // 2] * 4
+            probes = [*probes, row.rtt_ms][-30:]
+        state["probes"] = probes
+        if row.restart:
+            state.update(floor=row.ts_ms, fired=False, streak=0)
+            return
+        if row.cpu_pct is None:
+            return
+        if row.cpu_pct < cpu_pct:
+            state.update(fired=False, streak=0)
+            return
+        state["streak"] = (state.get("streak") or 0) + 1
+        if state["streak"] < streak or state.get("fired"):
+            return
+        newest = lambda at: at >= row.ts_ms - MINUTE_MS and (state.get("floor") is None or at > state["floor"])
+        event = state.get("event") is not None and newest(state["event"])
+        reasons = saturation_reasons(spike, event, sum(n for at, n in held if newest(at)))
+        if reasons:
+            state.update(floor=row.ts_ms, fired=True)
+            yield (row.ts_ms, row.id, "+".join(reasons))
+
+    return Live(
+        CONNECTION, (*POLL, "event", "cpu_pct", "rtt_ms", "replica_drops", "restart"),
+        "floor bigint, fired boolean, streak int, event bigint, probes array<double>, drop_ms array<bigint>, drop_n array<bigint>",
+        "ts_ms bigint, id bigint, reasons string", step, gather=True,
+    )
+
+
 def client_lockout(used_pct: float = 85.0, streak: int = 3) -> Live:
     """Refused connections and clients held at the ceiling."""
 

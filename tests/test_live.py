@@ -137,6 +137,24 @@ def threshold_case():
     return Case(steps.threshold_alerts(ASKED), data, "connection_id string, alert string, ts_ms bigint, id bigint, value double", ("other", "x", FAR, 0, 1.0))
 
 
+CONTROL = f"{CONNECTION}, event boolean, cpu_pct double, rtt_ms double, replica_drops bigint, restart boolean"
+
+
+def control_case():
+    rng = random.Random(12)
+    data, ts = [], START
+    for i in range(900):
+        ts += rng.choice((0, 5_000, 5_000, 20_000, 90_000))
+        conn = rng.choice(("hot", "hot", "hot", "c1"))
+        if rng.random() < 0.06:
+            data.append((conn, ts, None, True, None, None, None, None))
+        else:
+            busy = rng.choice((95.0, 95.0, 91.0, None)) if i % 30 < 24 else 20.0
+            rtt = rng.choice((None, 10.0, 20.0, 30.0, 30.0, 500.0 if rng.random() < 0.4 else 40.0))
+            data.append((conn, ts, i, False, busy, rtt, rng.choice((0,) * 12 + (1, 1, 2)), rng.random() < 0.01))
+    return Case(steps.control_plane_saturation(), data, CONTROL, ("other", FAR, 10**6, False, 1.0, None, 0, False))
+
+
 def buffer_case():
     rng = random.Random(7)
     data = [
@@ -256,7 +274,7 @@ def silence_case():
 CASES = {name: simple_case(name) for name in SIMPLE} | {
     "thresholds": threshold_case(), "buffers": buffer_case(), "failovers": failover_case(), "saves": save_case(), "rejoins": rejoin_case(),
     "logins": login_case(), "ceilings": ceiling_case(), "gate": gate_case(), "admission": admission_case(), "ring": ring_case(),
-    "proposals": proposal_case(), "silence": silence_case(),
+    "proposals": proposal_case(), "silence": silence_case(), "control": control_case(),
 }
 
 
@@ -271,6 +289,8 @@ def history(spark, name):
     if name == "thresholds":
         subscribers = spark.createDataFrame(ASKED, "subscriber string, alert string, threshold double, above boolean")
         return D.threshold_alerts(df.where("value is not null"), subscribers)
+    if name == "control":
+        return D.control_plane_saturation(df.where("not event").drop("event"), df.where("event").select("connection_id", "ts_ms"))
     if name == "gate":
         return D.persistence_gate(df.where("signature is not null"), df.where("signature is null").select("connection_id", "ts_ms"), 60_000)
     return {
@@ -294,6 +314,7 @@ def test_inputs_reach_every_kind(ran):
     assert kinds("thresholds", "subscriber") == set("abcdefg")
     assert kinds("buffers", "kind") == {"soft_sustained", "hard_approach"}
     assert len(kinds("saves", "reason")) >= 3
+    assert {"rtt", "events", "drops"} <= set("+".join(kinds("control", "reasons")).split("+"))
     assert kinds("raft_health", "kind") == {"no_leader", "leader_recovered", "election_churn"}
     assert kinds("fork_memory_risk", "kind") == {"live", "projected"}
     assert kinds("memory_overhead", "kind") == {"accounting", "overhead"}
