@@ -1,11 +1,13 @@
 """Vector, semantic-cache, memory and retrieval queries."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from fleetscope.catalog import walks
 from fleetscope.catalog.registry import query
 from fleetscope.catalog.views import ORIGIN_MS, Tables
 from fleetscope.functions.scoring import cosine_distance, token_set
+from fleetscope.operators import descent
 from fleetscope.operators import knn as N
 from fleetscope.operators import memory as M
 from fleetscope.operators import semantic as S
@@ -64,6 +66,21 @@ def _lsh(t: Tables):
     return found.select("neighbours", (F.col("found") / F.col("neighbours") > 0.5).alias("recall_above_half"))
 
 
+@query(
+    "knn_descent_recall",
+    "V24",
+    "SELECT 5*count(*) AS neighbours, true AS nine_tenths_found FROM v_vec WHERE vec_id % 20 = 0",
+)
+def _descent(t: Tables):
+    items = t.vec.select(F.col("vec_id").alias("item_id"), "embedding")
+    asked = items.where(F.col("item_id") % 20 == 0).withColumnRenamed("item_id", "query_id")
+    near = N.knn(asked, items.withColumnRenamed("item_id", "entry_id"), 6).where(F.col("query_id") != F.col("entry_id"))
+    order = Window.partitionBy("query_id").orderBy("rank")
+    exact = near.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= 5)
+    found = N.lsh_recall(exact, descent.knn_descent(items, 5))
+    return found.select("neighbours", (F.col("found") >= F.col("neighbours") * 0.9).alias("nine_tenths_found"))
+
+
 @query(
     "cosine_to_previous",
     "P12",

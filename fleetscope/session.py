@@ -7,7 +7,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Plan-level settings only; sizes of executors and of the shuffle belong to the cluster.
 SETTINGS = {
@@ -45,6 +45,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return folder
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df, written to the folder of spark.checkpoint.dir and read from it; a local master may go without the setting."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        local = context.master.startswith("local[") and spark.conf.get("spark.checkpoint.dir", None) is None
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-") if local else checkpoint_root(spark))
+    return df.checkpoint()
+
+
 _shipped: set[str] = set()
 
 
