@@ -50,8 +50,9 @@ def _trend(t: Tables):
     return L.latency_trend(t.log, START, END, 21_600_000)
 
 
-def histogram(t: Tables):
+def histogram(t: Tables, keys=()):
     return t.log.groupBy(
+        *keys,
         F.col("verb").alias("command"),
         F.pow(F.lit(2.0), F.floor(F.log2(F.col("value") + 1.0))).cast("bigint").alias("bucket"),
     ).agg(F.count(F.lit(1)).alias("n"))

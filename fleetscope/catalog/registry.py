@@ -7,13 +7,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetscope.catalog.sql_views import VIEWS
+from fleetscope.catalog.sql_views import CONNECTIONS, VIEWS
 from fleetscope.catalog.views import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 COVERS: dict[str, str] = {}
 MODULES: dict[str, str] = {}
+#: The statements as written, without the views they mention.
+STATEMENTS: dict[str, str] = {}
 
 
 def _with_views(sql: str) -> str:
@@ -38,6 +40,18 @@ def _with_views(sql: str) -> str:
     return (("WITH " + ",\n".join(heads) + "\n") if heads else "") + body
 
 
+def per_connection(sql: str, view: str) -> str:
+    """The fleet's statement over ``view``, run on the rows of each connection alone."""
+    parts = []
+    for connection in CONNECTIONS:
+        own = f"{connection}_{view[2:]}"
+        rows = f"WITH {own} AS (SELECT * FROM {view} WHERE connection_id = '{connection}')"
+        body = re.sub(rf"\b{view}\b", own, sql).strip()
+        body = f"{rows}, {body[5:]}" if body[:5].upper() == "WITH " else f"{rows} {body}"
+        parts.append(f"SELECT '{connection}' AS connection_id, * FROM ({body})")
+    return " UNION ALL ".join(parts)
+
+
 def query(name: str, covers: str, sql: str | None = None):
     """Register ``fn(tables) -> DataFrame`` under ``name``; ``covers`` lists blueprint rows."""
 
@@ -53,6 +67,7 @@ def query(name: str, covers: str, sql: str | None = None):
         COVERS[name] = covers
         MODULES[name] = fn.__module__
         if sql is not None:
+            STATEMENTS[name] = sql
             ORACLES[name] = _with_views(sql)
         return fn
 

@@ -3,6 +3,8 @@
 _NAME = "CASE WHEN user_id % 5 = 0 THEN '' ELSE concat('svc', user_id % 7) END"
 _ADDR = "concat('10.0.', user_id % 16, '.', user_id % 250, ':', 40000 + event_id % 1000)"
 _CONN = "concat('c', user_id % 4)"
+#: All connections of these views.
+CONNECTIONS = ("c0", "c1", "c2", "c3")
 
 VIEWS: dict[str, str] = {
     "v_ev": "SELECT *, epoch_us(ts)//1000 AS ts_ms FROM events",

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetscope.functions.keys import latency_bucket
 from fleetscope.operators.quantiles import Quantile, exact_quantiles
+from fleetscope.operators.scopes import first_rows, scoped
 from fleetscope.operators.series import HOUR_MS, with_last_known
 
 PROFILE = [Quantile("p50", "nearest", 0.5), Quantile("p95", "nearest", 0.95), Quantile("p99", "nearest", 0.99)]
@@ -44,19 +47,22 @@ def latency_profile_sketch(log: DataFrame, start_ms: int, end_ms: int) -> DataFr
     )
 
 
-def latency_trend(log: DataFrame, start_ms: int, end_ms: int, bin_ms: int) -> DataFrame:
+def latency_trend(
+    log: DataFrame, start_ms: int, end_ms: int, bin_ms: int, keys: Sequence[str] = ()
+) -> DataFrame:
     """Profile per bin counted from the window start; empty bins are absent."""
-    binned = latency_entries(log, start_ms, end_ms).withColumn(
+    binned = latency_entries(scoped(log, keys), start_ms, end_ms).withColumn(
         "bin_ms", F.lit(start_ms) + F.floor((F.col("ts_ms") - start_ms) / bin_ms) * bin_ms
     )
-    return exact_quantiles(binned, ["bucket", "bin_ms"], "value", PROFILE)
+    return exact_quantiles(binned, [*keys, "bucket", "bin_ms"], "value", PROFILE)
 
 
-def histogram_percentiles(histogram: DataFrame) -> DataFrame:
-    """First bucket whose cumulative count reaches the share; ``histogram`` has (command, bucket, n)."""
-    per = histogram.groupBy("command", "bucket").agg(F.sum("n").alias("n"))
+def histogram_percentiles(histogram: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """First bucket whose cumulative count reaches the share; ``histogram`` has (command, bucket, n) and the keys."""
+    by = [*keys, "command"]
+    per = scoped(histogram, keys).groupBy(*by, "bucket").agg(F.sum("n").alias("n"))
     # A histogram has at most 64 power-of-two buckets per command.
-    whole = Window.partitionBy("command")
+    whole = Window.partitionBy(*by)
     upto = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     cumulative = per.withColumn("_cum", F.sum("n").over(upto)).withColumn("_total", F.sum("n").over(whole))
 
@@ -64,27 +70,22 @@ def histogram_percentiles(histogram: DataFrame) -> DataFrame:
         reached = F.col("_cum") >= F.col("_total") * F.lit(percent / 100.0)
         return F.min(F.when(reached, F.col("bucket")))
 
-    return cumulative.groupBy("command").agg(
+    return cumulative.groupBy(*by).agg(
         F.max("_total").alias("calls"), at(50).alias("p50"), at(95).alias("p95"), at(99).alias("p99")
     )
 
 
-def histogram_top_commands(histogram: DataFrame, k: int = 10) -> DataFrame:
+def histogram_top_commands(histogram: DataFrame, k: int = 10, keys: Sequence[str] = ()) -> DataFrame:
     """Busiest commands, without the server's own latency and config commands."""
     own = F.col("command").startswith("latency|") | F.col("command").startswith("config|")
-    return (
-        histogram.where(~own)
-        .groupBy("command")
-        .agg(F.sum("n").alias("calls"))
-        .orderBy(F.desc("calls"), "command")
-        .limit(k)
-    )
+    per = scoped(histogram, keys).where(~own).groupBy(*keys, "command").agg(F.sum("n").alias("calls"))
+    return first_rows(per, keys, [F.desc("calls"), "command"], k)
 
 
-def latest_latency_events(events: DataFrame) -> DataFrame:
+def latest_latency_events(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Newest entry per event name; ``events`` has (event, ts_ms, id, value)."""
     order = F.struct("ts_ms", "id")
-    return events.groupBy("event").agg(
+    return scoped(events, keys).groupBy(*keys, "event").agg(
         F.max("ts_ms").alias("ts_ms"),
         F.max_by("value", order).alias("latest_value"),
         F.max("value").alias("max_value"),

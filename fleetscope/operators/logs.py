@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetscope.functions.identity import client_identity
 from fleetscope.functions.keys import key_prefix, log_key_pattern, sanitize_args, scan_command
+from fleetscope.operators.scopes import first_rows, scoped, with_totals
 
 # Scan-reply skew limits.
 SCAN_BYTES_PER_ELEMENT = 4096
@@ -71,58 +72,61 @@ def _value_stats(grouped) -> DataFrame:
     )
 
 
-def _share(stats: DataFrame) -> DataFrame:
-    total = stats.agg(F.sum("n")).scalar()
-    return stats.withColumn("pct", F.col("n") / total * 100).withColumn(
-        "avg_value", F.col("total_value") / F.col("n")
+def log_patterns(log: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Per pattern: count, share of its scope, and sum/avg/min/max of the value."""
+    entries = with_log_pattern(scoped(log, keys))
+    stats = _value_stats(entries.groupBy(*keys, "pattern", "command", "key_pattern"))
+    return (
+        with_totals(stats, keys, _all=F.sum("n"))
+        .withColumn("pct", F.col("n") / F.col("_all") * 100)
+        .withColumn("avg_value", F.col("total_value") / F.col("n"))
+        .drop("_all")
     )
 
 
-def log_patterns(log: DataFrame) -> DataFrame:
-    """Per pattern: count, share, and sum/avg/min/max of the value."""
-    return _share(_value_stats(with_log_pattern(log).groupBy("pattern", "command", "key_pattern")))
-
-
-def log_breakdown(log: DataFrame, by: str) -> DataFrame:
-    """Count, share of all entries and mean value per command, prefix or client."""
-    per = with_log_pattern(log).groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("_s"))
-    total = per.agg(F.sum("n")).scalar()
+def log_breakdown(log: DataFrame, by: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Count, share of all entries of the scope and mean value per command, prefix or client."""
+    entries = with_log_pattern(scoped(log, keys))
+    per = entries.groupBy(*keys, by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("_s"))
     return (
-        per.withColumn("pct", F.col("n") / total * 100)
+        with_totals(per, keys, _all=F.sum("n"))
+        .withColumn("pct", F.col("n") / F.col("_all") * 100)
         .withColumn("avg_value", F.col("_s") / F.col("n"))
         .where(F.col(by).isNotNull())
-        .drop("_s")
+        .drop("_s", "_all")
     )
 
 
-def pattern_clients(log: DataFrame, top: int = 10) -> DataFrame:
+def pattern_clients(log: DataFrame, top: int = 10, keys: Sequence[str] = ()) -> DataFrame:
     """Most active clients of every pattern with their share of it."""
+    by = [*keys, "pattern"]
     per = (
-        with_log_pattern(log)
-        .groupBy("pattern", "client")
+        with_log_pattern(scoped(log, keys))
+        .groupBy(*by, "client")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("_s"), F.max("value").alias("max_value"))
     )
-    totals = per.groupBy("pattern").agg(F.sum("n").alias("_pattern_n"))
-    rank = F.row_number().over(Window.partitionBy("pattern").orderBy(F.desc("n"), "client"))
+    totals = per.groupBy(*by).agg(F.sum("n").alias("_pattern_n"))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), "client"))
     return (
         per.withColumn("rank", rank.cast("bigint"))
         .where(F.col("rank") <= top)
-        .join(totals, "pattern")
+        .join(totals, by)
         .withColumn("pct", F.col("n") / F.col("_pattern_n") * 100)
         .withColumn("avg_value", F.col("_s") / F.col("n"))
         .drop("_s", "_pattern_n")
     )
 
 
-def pattern_examples(log: DataFrame, top: int = 3) -> DataFrame:
+def pattern_examples(log: DataFrame, top: int = 3, keys: Sequence[str] = ()) -> DataFrame:
     """First entries of every pattern, with unsafe argument values masked."""
-    rank = F.row_number().over(Window.partitionBy("pattern").orderBy("ts_ms", "id"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "pattern").orderBy("ts_ms", "id"))
     # row_number with a bound is limited per partition before the shuffle
     return (
-        with_log_pattern(log)
+        with_log_pattern(scoped(log, keys))
         .withColumn("rank", rank.cast("bigint"))
         .where(F.col("rank") <= top)
         .select(
+            *keys,
             "pattern",
             "rank",
             "id",
@@ -134,20 +138,17 @@ def pattern_examples(log: DataFrame, top: int = 3) -> DataFrame:
     )
 
 
-def top_commands(log: DataFrame, k: int = 50) -> DataFrame:
-    return (
-        log.groupBy(F.upper("verb").alias("command"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .orderBy(F.desc("n"), "command")
-        .limit(k)
-    )
+def top_commands(log: DataFrame, k: int = 50, keys: Sequence[str] = ()) -> DataFrame:
+    """Busiest commands of the scope; equal counts by name."""
+    per = scoped(log, keys).groupBy(*keys, F.upper("verb").alias("command")).agg(F.count(F.lit(1)).alias("n"))
+    return first_rows(per, keys, [F.desc("n"), "command"], k)
 
 
-def top_commands_sketch(log: DataFrame, k: int = 50) -> DataFrame:
-    """Approximate heavy hitters in bounded memory."""
-    top = log.agg(F.expr(f"approx_top_k(upper(verb), {k})").alias("t"))
-    return top.select(F.explode("t").alias("t")).select(
-        F.col("t.item").alias("command"), F.col("t.count").cast("bigint").alias("n")
+def top_commands_sketch(log: DataFrame, k: int = 50, keys: Sequence[str] = ()) -> DataFrame:
+    """Approximate heavy hitters in bounded memory per scope."""
+    top = scoped(log, keys).groupBy(*keys).agg(F.expr(f"approx_top_k(upper(verb), {k})").alias("t"))
+    return top.select(*keys, F.explode("t").alias("t")).select(
+        *keys, F.col("t.item").alias("command"), F.col("t.count").cast("bigint").alias("n")
     )
 
 
