@@ -158,15 +158,23 @@ def correlate(events: DataFrame, window_ms: int = 5_000) -> DataFrame:
     spike = F.col("anomaly_type") == "spike"
     level = F.when(F.col("severity") == "critical", 2).when(F.col("severity") == "warning", 1).otherwise(0)
     connection = F.when(F.col("metric") == "connections", F.struct("ts_ms", "id"))
-    windows = anchor_windows(events, window_ms).groupBy("connection_id", "start_ms", "head_id").agg(
+    groups = anchor_windows(events, window_ms).groupBy("connection_id", "start_ms", "head_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.collect_set("metric").alias("metrics"),
         F.collect_set(F.when(spike, F.col("metric"))).alias("spikes"),
         F.min_by("anomaly_type", connection).alias("first_connection"),
         F.bool_or("saturated").alias("saturated"),
-        F.max(level).alias("_level"),
+        F.max(level).alias("level"),
         F.max("ts_ms").alias("end_ms"),
     )
+    return with_pattern(groups)
+
+
+def with_pattern(groups: DataFrame) -> DataFrame:
+    """The pattern and severity of anomaly groups: the first rule that holds.
+
+    ``groups`` has (connection_id, start_ms, head_id, n, metrics, spikes, first_connection, saturated, level, end_ms).
+    """
     pattern = F.lit("unknown")
     for rule in reversed(correlation_rules()):
         condition = F.lit(True)
@@ -175,8 +183,8 @@ def correlate(events: DataFrame, window_ms: int = 5_000) -> DataFrame:
         if rule.extra is not None:
             condition = condition & F.coalesce(rule.extra, F.lit(False))
         pattern = F.when(condition, rule.pattern).otherwise(pattern)
-    severity = F.when(F.col("_level") == 2, "critical").when(F.col("_level") == 1, "warning").otherwise("info")
-    return windows.select(
+    severity = F.when(F.col("level") == 2, "critical").when(F.col("level") == 1, "warning").otherwise("info")
+    return groups.select(
         "connection_id",
         "start_ms",
         "head_id",

@@ -46,6 +46,9 @@ class Live(NamedTuple):
     order: tuple[str, ...] = ("ts_ms", "id")
     gather: bool = False
     quiet_ms: int = DAY_MS
+    #: Time after which an open group of the state is whole; ``close`` then empties it and yields output tuples.
+    due: Callable[[dict], int | None] | None = None
+    close: Callable[[dict], Iterable[tuple]] | None = None
 
 
 def _plain(value):
@@ -100,21 +103,28 @@ class Processor(StatefulProcessor):
         ripe, later = [r for r in rows if r[at] <= now], [r for r in rows if r[at] > now]
         last = self.seen.get()[0] if self.seen.exists() else None
         emitted: list[tuple] = []
+        state = self._load() if ripe or self.live.due else {}
         if ripe:
             ripe.sort(key=lambda r: tuple((r[p] is None, r[p]) for p in self.positions))
-            state = self._load() if last is None or ripe[0][at] - last < self.live.quiet_ms else {}
             for row in self._steps(ripe, at):
                 seen = row[0].ts_ms if self.live.gather else row.ts_ms
+                emitted.extend((*key, *event) for event in self._closed(state, seen - 1))
                 if last is not None and seen - last >= self.live.quiet_ms:
                     state = {}
                 last = seen
                 emitted.extend((*key, *event) for event in self.live.step(state, row))
+        emitted.extend((*key, *event) for event in self._closed(state, now))
+        if ripe or self.live.due:
             self._store(state)
+        if ripe:
             if later:
                 self.waiting.put(later)
             else:
                 self.waiting.clear()
         due = min((r[at] for r in later), default=None)
+        whole = self.live.due(state) if self.live.due else None
+        if whole is not None:
+            due = whole if due is None else min(due, whole)
         if last is not None:
             over = last + self.live.quiet_ms
             if due is None and over <= now:
@@ -130,6 +140,12 @@ class Processor(StatefulProcessor):
             self.seen.update((None, due))
         yield from (SparkRow(**dict(zip(self.names, e, strict=True))) for e in emitted)
 
+    def _closed(self, state: dict, upto: int) -> Iterator[tuple]:
+        """Output of the group whose last moment is not after ``upto``."""
+        whole = self.live.due(state) if self.live.due else None
+        if whole is not None and whole <= upto:
+            yield from self.live.close(state)
+
     def _steps(self, ripe: list[tuple], at: int) -> Iterator[Any]:
         named = [Row(self.live.reads, r) for r in ripe]
         if not self.live.gather:

@@ -6,8 +6,9 @@ Every step decides from the row before it and a small state; the history forms i
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Mapping, Sequence
+from statistics import median
 
 from fleetscope.streaming import folds
 from fleetscope.streaming.detectors import ALERT_DEFAULTS, MINUTE_MS, PRESSURE_MEMORY_MS
@@ -63,6 +64,170 @@ def threshold_alerts(
     )
 
 
+def anomaly_groups(window_ms: int = 5_000) -> Live:
+    """Groups of anomalies by first-anchored window, for ``detectors.with_pattern``.
+
+    A group comes out once event time has passed its window, also when its connection stays silent. Held is one
+    group per connection: its metrics, not its rows.
+    """
+
+    def step(state, row):
+        if state.get("start") is None:
+            state.update(start=row.ts_ms, head=row.id, n=0, metrics=[], spikes=[], level=0)
+        state["end"], state["n"] = row.ts_ms, state["n"] + 1
+        if row.metric is not None and row.metric not in state["metrics"]:
+            state["metrics"] = [*state["metrics"], row.metric]
+        if row.anomaly_type == "spike" and row.metric is not None and row.metric not in state["spikes"]:
+            state["spikes"] = [*state["spikes"], row.metric]
+        if row.metric == "connections" and not state.get("connected"):
+            state["connected"], state["first"] = True, row.anomaly_type
+        if row.saturated is not None:
+            state["saturated"] = bool(state.get("saturated")) or row.saturated
+        state["level"] = max(state["level"], {"critical": 2, "warning": 1}.get(row.severity, 0))
+        return ()
+
+    def due(state):
+        return None if state.get("start") is None else state["start"] + window_ms
+
+    def close(state):
+        yield (
+            state["start"], state["head"], state["n"], state["metrics"], state["spikes"], state.get("first"),
+            state.get("saturated"), state["level"], state["end"],
+        )
+        state.clear()
+
+    return Live(
+        CONNECTION, (*POLL, "metric", "anomaly_type", "severity", "saturated"),
+        "start bigint, head bigint, n bigint, metrics array<string>, spikes array<string>, connected boolean, first string, saturated boolean, level int, end bigint",
+        "start_ms bigint, head_id bigint, n bigint, metrics array<string>, spikes array<string>, first_connection string, saturated boolean, level int, end_ms bigint",
+        step, quiet_ms=max(DAY_MS, window_ms + 1), due=due, close=close,
+    )
+
+
+def _poll_major(state: dict, rows: Sequence) -> bool:
+    """Follows the major version over polls; whether an upgrade window opens at this one.
+
+    ``opened`` is the start of the window that is open or has run out, null after a change downwards.
+    """
+    major, before = max((r.major for r in rows if r.major is not None), default=None), state.get("major")
+    if major is None:
+        return False
+    state["major"] = major
+    if before is None or major == before:
+        return False
+    rises = major > before
+    state.update(opened=rows[0].ts_ms if rises else None, old=before, new=major)
+    return rises
+
+
+def _loudest(rows: Sequence, min_calls: float, top: int) -> set[int]:
+    """Places of the rows of a poll's busiest commands that have calls enough."""
+    order = sorted(range(len(rows)), key=lambda i: (rows[i].calls_per_min is None, -(rows[i].calls_per_min or 0), rows[i].command))
+    return {i for i in order[:top] if rows[i].calls_per_min is not None and rows[i].calls_per_min >= min_calls}
+
+
+def _worse(now: float | None, base: float | None, factor: float) -> bool:
+    return now is not None and base is not None and now >= base * factor and now - base >= 1000
+
+
+SAMPLE = ("ts_ms", "command", "p99_us", "major", "calls_per_min")
+
+
+def judged_samples(span_ms: int = DAY_MS, min_calls: float = 60.0, top: int = 20) -> Live:
+    """Command samples with whether they count (``eligible``) and lie in an open upgrade window (``owned``).
+
+    It sees all commands of a poll at once. Its table is the input of ``sustained_regressions``, whose key is the command.
+    A connection that is silent for 30 days is taken for a new one.
+    """
+
+    def step(state, rows):
+        _poll_major(state, rows)
+        opened, loud = state.get("opened"), _loudest(rows, min_calls, top)
+        owned = opened is not None and rows[0].ts_ms <= opened + span_ms
+        for i, row in enumerate(rows):
+            yield (row.command, row.ts_ms, row.p99_us, i in loud, owned)
+
+    return Live(
+        CONNECTION, SAMPLE, "major int, old int, new int, opened bigint",
+        "command string, ts_ms bigint, p99_us double, eligible boolean, owned boolean", step,
+        order=("ts_ms", "command"), gather=True, quiet_ms=30 * DAY_MS,
+    )
+
+
+def sustained_regressions(factor: float = 2.0, needed: int = 5, wait_ms: int = 1_800_000) -> Live:
+    """Commands that stay at twice their median of the last day, on the rows of ``judged_samples``.
+
+    Held per command are the samples of one day.
+    """
+    fire = folds.sustained_regression(needed, wait_ms)
+
+    def step(state, row):
+        at, values = state.get("at") or [], state.get("values") or []
+        old = bisect_left(at, row.ts_ms - DAY_MS)
+        at, values = at[old:], values[old:]
+        if row.eligible:
+            known = values[: bisect_right(at, row.ts_ms - 5 * MINUTE_MS)]
+            row.baseline_us = median(known) if known else None
+            row.degraded = not row.owned and len(known) >= 30 and _worse(row.p99_us, row.baseline_us, factor)
+            yield from fire(state, row)
+        if row.p99_us is not None:
+            at, values = [*at, row.ts_ms], [*values, row.p99_us]
+        state["at"], state["values"] = at, values
+
+    return Live(
+        ("connection_id", "command"), ("ts_ms", "p99_us", "eligible", "owned"),
+        "at array<bigint>, values array<double>, n int, fired bigint", "ts_ms bigint, p99_us double, baseline_us double", step,
+        order=("ts_ms",), quiet_ms=DAY_MS + 1,
+    )
+
+
+def upgrade_regressions(
+    factor: float = 1.5, needed: int = 5, lookback_ms: int = 6 * 60 * MINUTE_MS, span_ms: int = DAY_MS, min_calls: float = 60.0, top: int = 20
+) -> Live:
+    """Commands slower after a major upgrade than on the old major line, once per upgrade.
+
+    Held per connection are the samples of the look-back time, and per upgrade one median and streak per command.
+    A connection that is silent for 30 days is taken for a new one.
+    """
+
+    def step(state, rows):
+        now = rows[0].ts_ms
+        held = [s for s in state.get("held") or [] if s["at"] >= now - lookback_ms]
+        held += [
+            {"at": now, "command": r.command, "p99": r.p99_us, "major": r.major} for r in rows if r.p99_us is not None and r.major is not None
+        ]
+        state["held"] = held
+        if _poll_major(state, rows):
+            lines: dict[str, list[float]] = {}
+            for s in held:
+                if s["major"] == state["old"]:
+                    lines.setdefault(s["command"], []).append(s["p99"])
+            state["base"] = [{"command": c, "p99": median(v), "n": 0} for c, v in lines.items() if len(v) >= 5]
+            state["told"] = False
+        opened = state.get("opened")
+        if opened is None or now > opened + span_ms or state.get("told"):
+            return
+        base, loud = {b["command"]: b for b in state.get("base") or []}, _loudest(rows, min_calls, top)
+        for i, row in enumerate(rows):
+            b = base.get(row.command)
+            if b is None:
+                continue
+            slow = i in loud and row.major is not None and row.major >= state["new"] and _worse(row.p99_us, b["p99"], factor)
+            b["n"] = b["n"] + 1 if slow else 0
+            if b["n"] >= needed:
+                state["told"] = True
+                grave = row.p99_us >= b["p99"] * 3 or row.p99_us >= 100_000
+                yield (opened, now, row.command, b["p99"], row.p99_us, "critical" if grave else "warning")
+
+    return Live(
+        CONNECTION, SAMPLE,
+        "major int, old int, new int, opened bigint, told boolean, base array<struct<command: string, p99: double, n: int>>, "
+        "held array<struct<at: bigint, command: string, p99: double, major: int>>",
+        "opened_ms bigint, ts_ms bigint, command string, baseline_us double, p99_us double, severity string", step,
+        order=("ts_ms", "command"), gather=True, quiet_ms=30 * DAY_MS,
+    )
+
+
 def control_plane_saturation(cpu_pct: float = 90.0, streak: int = 3) -> Live:
     """A busy processor beside slow probes, control-plane events or dropped replicas, on polls and events in one stream.
 
