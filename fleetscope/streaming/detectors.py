@@ -627,15 +627,23 @@ def failover_churn(nodes: DataFrame) -> DataFrame:
 def raft_health(polls: DataFrame, churn_ms: int = MINUTE_MS, recovered_ms: int = 30_000) -> DataFrame:
     """Election churn and leaderless outages. (connection_id, ts_ms, id, role, term, commit).
 
+    With a column ``node_timeout_ms`` the times of an outage follow from each poll's node timeout (null or not
+    positive: 15 seconds), and ``recovered_ms`` is not used.
+
     Only elections enter the first fold. The second is cut wherever the node leads or has not
     been seeking for the recovery time, since no outage can be open after such a poll.
     """
     keys = ["connection_id"]
     seeking = F.when(F.col("role").isin("candidate", "pre-candidate"), F.col("ts_ms"))
     known = with_last_known(polls.withColumn("_s", seeking), keys, POLL, {"_seek": "_s"}, DAY_MS)
-    calm = F.col("_s").isNull() & F.coalesce(F.col("ts_ms") - F.col("_seek") >= recovered_ms, F.lit(True))
+    timed = [c for c in polls.columns if c == "node_timeout_ms"]
+    quiet = F.lit(recovered_ms)
+    if timed:
+        timeout = F.when(F.col(*timed) > 0, F.col(*timed)).otherwise(folds.NODE_TIMEOUT_MS)
+        quiet = F.greatest(F.lit(folds.RECOVERED_FLOOR_MS), F.least(timeout, F.lit(folds.NODE_TIMEOUT_MAX_MS)) * 3)
+    calm = F.col("_s").isNull() & F.coalesce(F.col("ts_ms") - F.col("_seek") >= quiet, F.lit(True))
     outages = fold_history(
-        known.select(*keys, *POLL, "role", "commit", "_s", "_seek"), keys, POLL, folds.leaderless(recovered_ms),
+        known.select(*keys, *POLL, "role", "commit", "_s", "_seek", *timed), keys, POLL, folds.leaderless(recovered_ms),
         "ts_ms bigint, kind string, amount bigint", closes=(F.col("role") == "leader") | calm,
     )
     terms = with_previous(polls, keys, POLL, {"_term": "term"}, DAY_MS)

@@ -157,10 +157,32 @@ def election_churn(window_ms: int = 60_000, needed: int = 3):
     return step
 
 
+# Bounds of the times derived from a node timeout, milliseconds.
+NODE_TIMEOUT_MS = 15_000
+NODE_TIMEOUT_MAX_MS = 300_000
+RECOVERED_FLOOR_MS = 30_000
+FIRE_MARGIN_MS = 10_000
+
+
+def node_timeout(known: int | None) -> int:
+    """The timeout that times are derived from; the default where none is known."""
+    return min(known if known is not None and known > 0 else NODE_TIMEOUT_MS, NODE_TIMEOUT_MAX_MS)
+
+
 def leaderless(recovered_ms: int = 30_000, fire_ms: int = 40_000):
-    """Outages without a leader: from first seeking until a leader, commit progress or a quiet spell."""
+    """Outages without a leader: from first seeking until a leader, commit progress or a quiet spell.
+
+    Rows with a ``node_timeout_ms`` have times of their own: a node seeks again within two timeouts, so
+    quiet counts from three on, and an outage is told one timeout after that.
+    """
+    quiet_ms, told_ms = recovered_ms, fire_ms
 
     def step(state, row):
+        recovered_ms, fire_ms = quiet_ms, told_ms
+        if hasattr(row, "node_timeout_ms"):
+            timeout = node_timeout(row.node_timeout_ms)
+            recovered_ms = max(RECOVERED_FLOOR_MS, 3 * timeout)
+            fire_ms = recovered_ms + max(FIRE_MARGIN_MS, timeout)
         seeking = row.role in ("candidate", "pre-candidate")
         if seeking:
             state["seek"] = row.ts_ms

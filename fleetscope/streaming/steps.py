@@ -484,8 +484,8 @@ def failover_churn() -> Live:
     )
 
 
-def raft_health(churn_ms: int = MINUTE_MS, recovered_ms: int = 30_000, fire_ms: int = 40_000) -> Live:
-    """Election churn and leaderless outages of one node."""
+def raft_health(churn_ms: int = MINUTE_MS, recovered_ms: int = 30_000, fire_ms: int = 40_000, timed: bool = False) -> Live:
+    """Election churn and leaderless outages of one node; ``timed`` rows have a ``node_timeout_ms`` that sets the times."""
     outage, churn = folds.leaderless(recovered_ms, fire_ms), folds.election_churn(churn_ms)
 
     def step(state, row):
@@ -497,7 +497,7 @@ def raft_health(churn_ms: int = MINUTE_MS, recovered_ms: int = 30_000, fire_ms:
         state.update(elections)
 
     return Live(
-        CONNECTION, ("ts_ms", "id", "role", "term", "commit"),
+        CONNECTION, ("ts_ms", "id", "role", "term", "commit", *(["node_timeout_ms"] if timed else [])),
         "seek bigint, since bigint, commit bigint, active boolean, times array<bigint>, term bigint",
         "ts_ms bigint, kind string, amount bigint", step,
     )

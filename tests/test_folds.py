@@ -188,6 +188,29 @@ def test_raft_single_seek_then_quiet_is_no_outage(spark):
     assert D.raft_health(df).count() == 0
 
 
+def test_raft_times_follow_the_node_timeout(spark):
+    """At 20 s an outage is told 80 s after its first seek; at 2 s after 40 s; an unknown timeout counts as 15 s, 60 s."""
+    told = {}
+    for timeout, conn in ((20_000, "slow"), (2_000, "fast"), (None, "unknown"), (10**9, "clamped")):
+        polls = [(conn, i * 10_000, i, "candidate", 1, 5, timeout) for i in range(200)]
+        told[conn] = polls
+    df = spark.createDataFrame(
+        [p for polls in told.values() for p in polls],
+        "connection_id string, ts_ms long, id long, role string, term long, commit long, node_timeout_ms long",
+    )
+    got = rows(D.raft_health(df).where("kind = 'no_leader'"), "connection_id", "ts_ms")
+    assert got == [("clamped", 1_200_000), ("fast", 40_000), ("slow", 80_000), ("unknown", 60_000)]
+
+
+def test_raft_quiet_of_a_slow_node_is_no_recovery(spark):
+    """Seeks 50 s apart are one outage at a timeout of 20 s, and none at the fixed 30 s."""
+    polls = [("c", i * 10_000, i, "candidate" if i % 5 == 0 else "follower", 1, 5, 20_000) for i in range(20)]
+    schema = "connection_id string, ts_ms long, id long, role string, term long, commit long, node_timeout_ms long"
+    df = spark.createDataFrame(polls, schema)
+    assert rows(D.raft_health(df), "ts_ms", "kind") == [(100_000, "no_leader")]
+    assert D.raft_health(df.drop("node_timeout_ms")).count() == 0
+
+
 def test_election_churn(spark):
     df = spark.createDataFrame(
         [("c", i * 10_000, i, "leader", term, 1) for i, term in enumerate([1, 2, 3, 4, 4, 4])],

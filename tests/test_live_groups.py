@@ -122,6 +122,20 @@ def test_sustained_regressions_read_judged_samples(spark, tmp_path):
     assert want.count() >= 2
 
 
+def test_raft_times_of_each_poll(spark, tmp_path):
+    schema = "connection_id string, ts_ms bigint, id bigint, role string, term bigint, commit bigint, node_timeout_ms bigint"
+    rng = random.Random(7)
+    data = []
+    for i in range(300):
+        role = rng.choice(("candidate", "follower", "follower", "pre-candidate" if i % 60 < 40 else "leader"))
+        data.append(("hot", START + i * 10_000, i, role, i // 20, i // 70, rng.choice((20_000, 20_000, 2_000, None))))
+    last = ("o", FAR, 10**6, "follower", 1, 1, None)
+    found, _ = run(spark, tmp_path, "raft", data, schema, last, steps.raft_health(timed=True))
+    want = D.raft_health(spark.createDataFrame(data, schema))
+    assert rows(found, *want.columns) == rows(want)
+    assert want.where("kind = 'no_leader'").count() > 1
+
+
 def test_empty_stream(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     spark.createDataFrame([], ANOMALY).write.parquet(source)
