@@ -23,8 +23,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose five-word shingles are similar by 0.8 or more."""
-    return near_copies.one_of_each(docs)
+    """One document of each group of near copies.
+
+    Linked are SimHash fingerprints (of op3) at most 3 bits apart, by postings of positional
+    bytes, and five-word shingles similar by 0.8 or more, most of which are further apart.
+    """
+    return near_copies.one_of_each(docs, bits=3)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +50,7 @@ STAGES = [
     ("byte-level BPE", tokens),
 ]
 
-#: Hashed n-gram models, MinHash links and BPE merges are beyond SQL; see tests/llm/test_pipeline.py.
+#: Hashed n-gram models, SimHash and MinHash links and BPE merges are beyond SQL; see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 

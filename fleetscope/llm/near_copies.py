@@ -8,6 +8,9 @@ similar one with less. Every candidate is verified on the whole sets of 64-bit s
 Documents of one shingle set are one node. Only the groups of linked documents are asked
 for, so each bucket first verifies its members against one of them, and then, in blocks of a
 bounded size, all pairs of its members that are in different groups still.
+
+With bits, the links of simhash count too: SimHash fingerprints at most that many bits apart,
+from its postings of positional bytes. A group is then what links of both kinds connect.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetscope.llm.common import checkpointed, join_side, map_rows, smallest_of_component
-from fleetscope.llm.simhash import FOLD, smallest_of_each, tie
+from fleetscope.llm.simhash import FOLD, fingerprint, near_pairs, smallest_of_each, tie
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -81,12 +84,13 @@ def band_keys(own: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _marked(rows: Iterable[tuple], words_per_shingle: int) -> Iterator[tuple]:
+def _marked(rows: Iterable[tuple], words_per_shingle: int, simhashed: bool) -> Iterator[tuple]:
     known: dict[bytes, int] = {}
     for doc_id, tie_, text in rows:
         own = shingles(text, known, words_per_shingle)
         fp = int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).view(np.int64))
-        yield doc_id, tie_, fp, len(own), band_keys(own).view(np.int64).tolist() if len(own) else []
+        sim = fingerprint(text) if simhashed else None
+        yield doc_id, tie_, fp, sim, len(own), band_keys(own).view(np.int64).tolist() if len(own) else []
 
 
 def _sets(rows: Iterable[tuple], words_per_shingle: int) -> Iterator[tuple]:
@@ -165,25 +169,40 @@ def _links(nodes: DataFrame, docs: DataFrame, similarity: float, words_per_shing
     return links.unionByName(found)
 
 
-def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, words_per_shingle: int = WORDS) -> DataFrame:
+def _simhash_links(marks: DataFrame, bits: int) -> DataFrame:
+    """Pairs (a, b) of nodes that connect all nodes whose SimHash fingerprints are linked."""
+    held = checkpointed(marks.select("fp", "sim").distinct())
+    roots = smallest_of_component(near_pairs(held.select(F.col("sim").alias("fp")).distinct(), bits))
+    grouped = held.join(roots.withColumnRenamed("node", "sim"), "sim", "left").select("fp", F.coalesce("root", "sim").alias("root"))
+    least = grouped.groupBy("root").agg(F.min("fp").alias("a"), F.max("fp").alias("_last")).where("a < _last")
+    return grouped.join(least, "root").where("fp > a").select("a", F.col("fp").alias("b"))
+
+
+def one_of_each(
+    docs: DataFrame, similarity: float = SIMILARITY, words_per_shingle: int = WORDS, bits: int | None = None
+) -> DataFrame:
     """docs with one row of each group that links connect: that of the smallest doc_id.
 
     Texts without words are copies of each other. Rows without a doc_id and repeated ids are
     treated as in simhash.one_of_each. similarity may be SIMILARITY or more, what the bands are made for.
+    With bits (0 to 3), texts whose fingerprints simhash links are linked as well.
     """
     if similarity < SIMILARITY:
         raise ValueError(f"the bands are made for a similarity of {SIMILARITY} or more")
     marks = checkpointed(
         map_rows(
             docs.select("doc_id", tie(), "text"),
-            partial(_marked, words_per_shingle=words_per_shingle),
-            "doc_id bigint, tie bigint, fp bigint, n bigint, keys array<bigint>",
+            partial(_marked, words_per_shingle=words_per_shingle, simhashed=bits is not None),
+            "doc_id bigint, tie bigint, fp bigint, sim bigint, n bigint, keys array<bigint>",
         )
     )
     key = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "tie")
     rest = F.any_value(F.struct("n", "keys")).alias("rest")
     nodes = checkpointed(marks.groupBy("fp").agg(F.min(key).alias("rep"), rest).select("fp", "rep", "rest.*"))
-    roots = smallest_of_component(_links(nodes, docs, similarity, words_per_shingle))
+    links = _links(nodes, docs, similarity, words_per_shingle)
+    if bits is not None:
+        links = links.unionByName(_simhash_links(marks, bits))
+    roots = smallest_of_component(links)
     rooted = nodes.select("fp", "rep").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     stays = rooted.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("rep").alias("stays"))
     return smallest_of_each(docs, stays)

@@ -167,7 +167,12 @@ def one_of_each(docs: DataFrame, bits: int = 3, words_per_shingle: int = 3) -> D
 
 
 def smallest_of_each(docs: DataFrame, stays: DataFrame) -> DataFrame:
-    """The rows of docs that stays names by structs stays (unknown, doc_id, tie), each once."""
-    s, d = stays.select("stays.*").alias("s"), docs.withColumn("_tie", tie()).alias("d")
-    same = (F.col("d._tie") == F.col("s.tie")) & F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))
-    return d.join(s, same, "left_semi").dropDuplicates(["doc_id", "_tie"]).drop("_tie")
+    """The rows of docs that stays names by structs stays (unknown, doc_id, tie), each once.
+
+    The join and the removal of repeated rows have the same keys, so texts are shuffled once.
+    """
+    keys = ["_tie", "_known", "_unknown"]
+    known = [F.coalesce("doc_id", F.lit(0)).alias("_known"), F.col("doc_id").isNull().alias("_unknown")]
+    named = stays.select("stays.*").select(F.col("tie").alias("_tie"), *known)
+    keyed = docs.select("*", tie().alias("_tie"), *known)
+    return keyed.join(named, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from fleetscope.llm import near_copies
+from fleetscope.llm import near_copies, simhash
 from tests.llm.test_operators import AWKWARD, COLUMNS
 
 
@@ -77,3 +77,36 @@ def test_awkward_and_empty_tables(spark):
     got = sorted(r["doc_id"] for r in near_copies.one_of_each(docs).collect())
     assert got == plain_kept(AWKWARD)
     assert near_copies.one_of_each(docs.where("false")).collect() == []
+
+
+def test_the_stage_keeps_one_of_what_either_kind_of_link_connects(spark):
+    """0 and 2 have near fingerprints but few shingles in common, 2 and 1 many shingles but far fingerprints."""
+    rng = random.Random(8)
+    unit = [f"w{rng.randint(0, 5000)}" for _ in range(40)]
+
+    def bits(a, b):
+        return (simhash.fingerprint(a) ^ simhash.fingerprint(b)).bit_count()
+
+    def near():
+        while True:
+            tails = [[f"t{rng.random()}" for _ in range(24)] for _ in range(2)]
+            a, b = (" ".join(unit * 8 + tail) for tail in tails)
+            third = " ".join(unit * 2 + tails[1][:-1] + ["x"])
+            if bits(a, b) <= 3 < min(bits(a, third), bits(b, third)):
+                return a, b, third
+
+    a, b, third = near()
+    rows = [(0, a, "en", "s", 0), (2, b, "en", "s", 0), (1, third, "en", "s", 0), (3, "another text", "en", "s", 0)]
+    assert plain_kept(rows) == [0, 1, 3]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == [0, 1, 3]
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 3]
+
+
+def test_the_stage_keeps_at_most_one_of_each_component_of_op3(spark):
+    rows = [(100 + r[0], *r[1:]) for r in family(4, copies=9)]
+    docs = spark.createDataFrame([*AWKWARD, *AWKWARD, *rows], COLUMNS)
+    kept = corpus_pipeline.near_dedup(spark, docs, "").select("doc_id")
+    groups = simhash.near_duplicates(docs).distinct().join(kept.distinct(), "doc_id")
+    assert groups.groupBy("component_id").count().where("count > 1").collect() == []
+    assert kept.count() == kept.distinct().count()
