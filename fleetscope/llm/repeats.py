@@ -19,6 +19,10 @@ repeat, and suffixes with different anchor hashes need not be sorted together.
    hashed one by one and counted instead, which finds the same windows.
 
 All occurrences follow by a join of the runs with the contents found.
+
+Two lengths are served by one set of runs: anchors are those of the windows of the shorter
+one, and every anchor of a longer window is among them. A run then reaches over the windows
+of both lengths that have its anchor, and each maximal repeat counts for the lengths it has.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetscope.llm.common import checkpointed, map_rows
+from fleetscope.llm.common import checkpointed, map_rows, written
 
 LEAST = 400
 GRAM = 64
@@ -78,27 +82,44 @@ def smallest(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs(data: bytes, least: int = LEAST, gram: int = GRAM) -> Iterator[tuple[int, int, int, int, int]]:
-    """(place, first, last, anchor, content): the windows from place + first to place + last
-    have their anchor at place; anchor and content are signed 64-bit hashes."""
-    view = np.frombuffer(data, dtype=np.uint8)
-    width = least - gram + 1
-    for start in range(0, len(data) - least + 1, CHUNK):
-        part = view[start : start + CHUNK + least - 1]
-        h = gram_hashes(part, gram)
+def _reaches(view: np.ndarray, sizes: list[int], gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Arrays (place, start, end, anchor): bytes start to end hold the windows of one of the
+    sizes that have their anchor at place, as far as one chunk of the text shows them."""
+    for start in range(0, len(view) - min(sizes) + 1, CHUNK):
+        h = gram_hashes(view[start : start + CHUNK + max(sizes) - 1], gram)
         keyed = (h & ~PLACE) | np.arange(len(h), dtype=np.uint64)
-        place = (smallest(keyed, width) & PLACE).astype(np.int64)
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1, [len(place)]])
-        at = place[cuts[:-1]]
-        anchors = h[at].view(np.int64).tolist()
-        for p, first, end, anchor in zip(at.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), anchors, strict=True):
-            content = xxhash.xxh64_intdigest(data[start + first : start + end - 1 + least], (p - first) & 0xFFFF)
-            yield start + p, first - p, end - 1 - p, anchor, content - (1 << 64) if content >> 63 else content
+        for size in sizes:
+            width = size - gram + 1
+            if len(h) < width:
+                continue
+            place = (smallest(keyed[: CHUNK + width - 1], width) & PLACE).astype(np.int64)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1, [len(place)]])
+            at = place[cuts[:-1]]
+            yield start + at, start + cuts[:-1], start + cuts[1:] - 1 + size, h[at].view(np.int64)
 
 
-def _runs(rows: Iterable[tuple], least: int, gram: int) -> Iterator[tuple]:
+def runs(data: bytes, least: int = LEAST, gram: int = GRAM, longest: int | None = None) -> Iterator[tuple[int, int, int, int, int]]:
+    """(place, first, last, anchor, content): the windows from place + first to place + last
+    have their anchor at place; anchor and content are signed 64-bit hashes.
+
+    With longest, first and last reach on to all windows of longest bytes with that anchor.
+    """
+    found = list(_reaches(np.frombuffer(data, dtype=np.uint8), sorted({least, longest or least}), gram))
+    if not found:
+        return
+    place, start, end, anchor = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(place, kind="stable")
+    place = place[order]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
+    start, end = np.minimum.reduceat(start[order], cuts), np.maximum.reduceat(end[order], cuts)
+    for p, a, b, h in zip(place[cuts].tolist(), start.tolist(), end.tolist(), anchor[order][cuts].tolist(), strict=True):
+        content = xxhash.xxh64_intdigest(data[a:b], (p - a) & 0xFFFF)
+        yield p, a - p, b - least - p, h, content - (1 << 64) if content >> 63 else content
+
+
+def _runs(rows: Iterable[tuple], least: int, gram: int, longest: int) -> Iterator[tuple]:
     for doc_id, tie, text in rows:
-        for run in runs((text or "").encode(), least, gram):
+        for run in runs((text or "").encode(), least, gram, longest):
             yield (doc_id, tie, *run)
 
 
@@ -108,7 +129,7 @@ def _bodies(rows: Iterable[tuple], least: int) -> Iterator[tuple]:
         data = text.encode()
         for w in wanted:
             body = data[w["place"] + w["first"] : w["place"] + w["last"] + least]
-            yield w["anchor"], w["content"], w["n"], w["members"], w["first"], w["last"], body
+            yield w["anchor"], w["content"], w["n"], w["members"], w["first"], w["last"], body, w["owner"], w["spread"]
 
 
 def common_prefix(a: bytes, b: bytes) -> int:
@@ -182,26 +203,34 @@ def _repeated(rows: Iterable[tuple], least: int) -> Iterator[tuple]:
                 yield anchor, contents[i][1], -left, right, number
 
 
-def _covered(rows: Iterable[tuple], least: int) -> Iterator[tuple]:
-    """(anchor, content, from, to): what the maximal repeats of a content cover together.
+def _covered(rows: Iterable[tuple], least: int, passage: int) -> Iterator[tuple]:
+    """(anchor, content, from, to, across): what the maximal repeats of a content cover
+    together; across: those of passage bytes that several documents hold, else those of
+    least bytes.
 
     All of them hold the anchor, so together they are one range.
     """
     for anchor, contents in _by_anchor(rows):
-        left, right = [0] * len(contents), [0] * len(contents)
-        for most_left, most_right, own in maximal_repeats([(r[6], -r[4]) for r in contents], least):
-            for i in own:
-                left[i], right[i] = max(left[i], most_left), max(right[i], most_right)
-        for i, r in enumerate(contents):
-            if right[i] and r[2] == 1:
-                yield anchor, r[1], -left[i], right[i]
-
-
-def _windows(rows: Iterable[tuple], least: int) -> Iterator[tuple]:
-    for anchor, content, n, _, first, last, body in rows:
-        for k in range(last - first + 1):
-            window = xxhash.xxh64_intdigest(body[k : k + least])
-            yield anchor, content, n, first + k, window - (1 << 64) if window >> 63 else window
+        reach = {across: ([0] * len(contents), [0] * len(contents)) for across in (False, True)}
+        owners, spread = [r[7] for r in contents], [r[8] for r in contents]
+        for most_left, most_right, own in maximal_repeats([(r[6], -r[4]) for r in contents], passage):
+            across = any(owners[i] != owners[own[0]] or spread[i] for i in own)
+            for counts, (left, right) in zip((most_left + most_right >= least, across), reach.values(), strict=True):
+                if counts:
+                    for i in own:
+                        left[i], right[i] = max(left[i], most_left), max(right[i], most_right)
+        for across, (left, right) in reach.items():
+            for i, r in enumerate(contents):
+                whole = spread[i] if across else r[2] > 1
+                if right[i] and not whole:
+                    yield anchor, r[1], -left[i], right[i], across
+
+
+def _windows(rows: Iterable[tuple], size: int) -> Iterator[tuple]:
+    for anchor, content, n, _, first, _, body, owner, spread in rows:
+        for k in range(len(body) - size + 1):
+            window = xxhash.xxh64_intdigest(body[k : k + size])
+            yield anchor, content, n, first + k, window - (1 << 64) if window >> 63 else window, owner, spread
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -210,66 +239,86 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64(text).alias("tie"), text.alias("text"))
 
 
-def corpus_runs(texts: DataFrame, least: int, gram: int) -> DataFrame:
+def corpus_runs(texts: DataFrame, least: int, gram: int, longest: int | None = None) -> DataFrame:
+    """The runs of anchors that occur twice or more; only these can share a window."""
     schema = "doc_id bigint, tie bigint, place bigint, first int, last int, anchor bigint, content bigint"
-    return map_rows(texts, partial(_runs, least=least, gram=gram), schema)
+    found = written(map_rows(texts, partial(_runs, least=least, gram=gram, longest=longest or least), schema))
+    anchors = found.groupBy("anchor").count().where("count > 1")
+    return written(found.join(anchors, "anchor", "left_semi").select(*found.columns))
+
 
+def shared_contents(texts: DataFrame, places: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Contents of the runs in places, and (bodies) those of anchors with several contents
+    with the bytes of one occurrence each.
 
-def shared_contents(texts: DataFrame, least: int, gram: int) -> tuple[DataFrame, DataFrame]:
-    """Contents of anchors that occur twice or more, and (bodies) those of anchors with
-    several contents with the bytes of one occurrence each."""
+    owner is one of the documents that hold a content, spread tells if there are several.
+    """
     one = F.min(F.struct("doc_id", "tie", "place", "first", "last")).alias("one")
-    contents = corpus_runs(texts, least, gram).groupBy("anchor", "content").agg(F.count("*").alias("n"), one)
-    anchors = contents.groupBy("anchor").agg(F.sum("n").alias("total"), F.count("*").alias("members")).where("total > 1")
-    shared = checkpointed(contents.join(anchors, "anchor").drop("total"))
-    wanted = shared.where("members > 1").select("anchor", "content", "n", "members", "one.*")
+    owner = F.xxhash64("doc_id", "tie")
+    contents = places.groupBy("anchor", "content").agg(
+        F.count("*").alias("n"), F.min(owner).alias("owner"), (F.min(owner) != F.max(owner)).alias("spread"), one
+    )
+    anchors = contents.groupBy("anchor").agg(F.count("*").alias("members"))
+    shared = checkpointed(contents.join(anchors, "anchor"))
+    wanted = shared.where("members > 1").select("anchor", "content", "n", "members", "owner", "spread", "one.*")
     wanted = wanted.groupBy("doc_id", "tie").agg(
-        F.collect_list(F.struct("place", "first", "last", "anchor", "content", "n", "members")).alias("wanted")
+        F.collect_list(F.struct("place", "first", "last", "anchor", "content", "n", "members", "owner", "spread")).alias("wanted")
     )
     w, t = wanted.alias("w"), texts.alias("t")
     found = t.join(w, (F.col("t.tie") == F.col("w.tie")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")))
     bodies = map_rows(
         found.select("text", "wanted"),
         partial(_bodies, least=least),
-        "anchor bigint, content bigint, n bigint, members bigint, first int, last int, body binary",
+        "anchor bigint, content bigint, n bigint, members bigint, first int, last int, body binary, owner bigint, spread boolean",
     )
     return shared, bodies
 
 
-def _whole(shared: DataFrame, least: int) -> DataFrame:
-    return shared.where("n > 1").select(
-        "anchor", "content", F.col("one.first").alias("from"), (F.col("one.last") + least).alias("to")
-    )
+def _whole(shared: DataFrame, least: int, size: int, across: bool = False) -> DataFrame:
+    """Contents with another place, or else (across) document, that have size bytes at least."""
+    end = F.col("one.last") + least
+    found = shared.where(F.col("spread") if across else F.col("n") > 1).where(end - F.col("one.first") >= size)
+    return found.select("anchor", "content", F.col("one.first").alias("from"), end.alias("to"))
 
 
 def _sorted(bodies: DataFrame, members: int) -> DataFrame:
     return bodies.where(F.col("members") <= members).repartition("anchor").sortWithinPartitions("anchor")
 
 
-def _counted(bodies: DataFrame, least: int, members: int) -> DataFrame:
+def _counted(bodies: DataFrame, size: int, members: int, across: bool = False) -> DataFrame:
     """The range of repeated windows of each content, for anchors of more than members contents."""
     windows = map_rows(
         bodies.where(F.col("members") > members).dropDuplicates(["anchor", "content"]),
-        partial(_windows, least=least),
-        "anchor bigint, content bigint, n bigint, `from` int, window bigint",
+        partial(_windows, size=size),
+        "anchor bigint, content bigint, n bigint, `from` int, window bigint, owner bigint, spread boolean",
     )
-    twice = windows.groupBy("anchor", "from", "window").agg(F.sum("n").alias("n")).where("n > 1").drop("n")
+    several = F.bool_or("spread") | (F.min("owner") != F.max("owner")) if across else F.sum("n") > 1
+    twice = windows.groupBy("anchor", "from", "window").agg(several.alias("several")).where("several").drop("several")
     return (
-        windows.where("n = 1")
+        windows.where("not spread" if across else "n = 1")
         .join(twice, ["anchor", "from", "window"])
         .groupBy("anchor", "content")
-        .agg(F.min("from").alias("from"), (F.max("from") + least).alias("to"))
+        .agg(F.min("from").alias("from"), (F.max("from") + size).alias("to"))
     )
 
 
-def covered_contents(texts: DataFrame, least: int = LEAST, gram: int = GRAM, members: int = MEMBERS) -> DataFrame:
-    """(anchor, content, from, to), one row for each content that shares bytes with another
-    place: the range of these bytes, relative to the anchor."""
-    shared, bodies = shared_contents(texts, least, gram)
-    by_tree = map_rows(
-        _sorted(bodies, members), partial(_covered, least=least), "anchor bigint, content bigint, `from` int, `to` int"
+def covered_contents(
+    texts: DataFrame, places: DataFrame, least: int = LEAST, members: int = MEMBERS, passage: int | None = None
+) -> DataFrame:
+    """(anchor, content, from, to, across), relative to the anchor: the range of the bytes
+    that each content shares with another place (strings of least bytes) and, across, with
+    another document (strings of passage bytes; places are the runs of that length)."""
+    passage = passage or least
+    shared, bodies = shared_contents(texts, places, passage)
+    found = map_rows(
+        _sorted(bodies, members),
+        partial(_covered, least=least, passage=passage),
+        "anchor bigint, content bigint, `from` int, `to` int, across boolean",
     )
-    return _whole(shared, least).unionByName(by_tree).unionByName(_counted(bodies, least, members))
+    for across, size in ((False, least), (True, passage)):
+        more = _whole(shared, passage, size, across).unionByName(_counted(bodies, size, members, across))
+        found = found.unionByName(more.withColumn("across", F.lit(across)))
+    return found
 
 
 def repeat_occurrences(
@@ -281,16 +330,17 @@ def repeat_occurrences(
     a whole, -2 for the repeated windows of anchors with more than `members` contents.
     """
     texts = keyed(docs)
-    shared, bodies = shared_contents(texts, least, gram)
+    runs_of = corpus_runs(texts, least, gram)
+    shared, bodies = shared_contents(texts, runs_of, least)
     by_tree = map_rows(
         _sorted(bodies, members),
         partial(_repeated, least=least),
         "anchor bigint, content bigint, `from` int, `to` int, repeat int",
     )
-    whole = _whole(shared, least).withColumn("repeat", F.lit(-1))
+    whole = _whole(shared, least, least).withColumn("repeat", F.lit(-1))
     counted = _counted(bodies, least, members).withColumn("repeat", F.lit(-2))
     found = by_tree.unionByName(whole).unionByName(counted)
-    places = corpus_runs(texts, least, gram).join(found, ["anchor", "content"])
+    places = runs_of.join(found, ["anchor", "content"])
     return places.select(
         "anchor", "repeat", "doc_id", (F.col("place") + F.col("from")).alias("start"), (F.col("place") + F.col("to")).alias("end")
     )
@@ -309,34 +359,46 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 def _kept(rows: Iterable[tuple]) -> Iterator[tuple]:
     for doc_id, text, places in rows:
         data = text.encode()
-        spans = merged((r["start"], r["end"]) for r in places or [])
+        spans, passages = (
+            merged((r["start"], r["end"]) for r in places or [] if r["across"] == across) for across in (False, True)
+        )
         digest, at, removed = sha256(), 0, 0
         for start, end in spans:
             digest.update(data[at:start])
             at, removed = end, removed + end - start
         digest.update(data[at:])
-        yield doc_id, len(data), removed, len(spans), digest.hexdigest(), [x for span in spans for x in span]
+        counts = len(passages), sum(end - start for start, end in passages)
+        yield doc_id, len(data), removed, len(spans), digest.hexdigest(), [x for span in spans for x in span], *counts
 
 
-def remove_repeats(docs: DataFrame, least: int = LEAST, gram: int = GRAM, members: int = MEMBERS) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) for each row of docs.
+def remove_repeats(
+    docs: DataFrame, least: int = LEAST, gram: int = GRAM, members: int = MEMBERS, passage: int | None = None
+) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans, n_passages, n_passage_bytes)
+    for each row of docs.
 
     Bytes covered by a string of least bytes that also starts at another place, in the same
     document or another, are removed, all occurrences of them; spans lists the starts and
     ends of the removed runs. Null and empty texts lose nothing. Repeated rows are copies of
     each other, so they lose all their windows. Other columns are not read.
+
+    Passages are not removed, only counted: maximal runs of bytes covered by a string of
+    passage bytes (not above least, which is the default) that another document holds too.
+    Rows alike in doc_id and text are one document here.
     """
-    if gram > least:
-        raise ValueError("an anchor must fit a window")
+    passage = passage or least
+    if not gram <= passage <= least:
+        raise ValueError("an anchor must fit a window, and a passage the strings that are removed")
     texts = keyed(docs)
-    ranges = covered_contents(texts, least, gram, members)
-    hits = corpus_runs(texts, least, gram).join(ranges, ["anchor", "content"])
-    span = F.struct((F.col("place") + F.col("from")).alias("start"), (F.col("place") + F.col("to")).alias("end"))
+    found = corpus_runs(texts, passage, gram, least)
+    hits = found.join(covered_contents(texts, found, least, members, passage), ["anchor", "content"])
+    span = F.struct((F.col("place") + F.col("from")).alias("start"), (F.col("place") + F.col("to")).alias("end"), "across")
     places = hits.groupBy("doc_id", "tie").agg(F.collect_list(span).alias("places"))
     p, t = places.alias("p"), texts.alias("t")
     joined = t.join(p, (F.col("t.tie") == F.col("p.tie")) & F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")), "left")
     return map_rows(
         joined.select("t.doc_id", "text", "places"),
         _kept,
-        "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>",
+        "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>, "
+        "n_passages bigint, n_passage_bytes bigint",
     )

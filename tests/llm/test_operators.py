@@ -559,6 +559,67 @@ def test_repeats_across_chunks(spark, monkeypatch):
         assert starts == list(range(max(0, len((text or "").encode()) - 19)))
 
 
+def plain_passages(rows, least):
+    """(n_passages, n_passage_bytes) of each (doc_id, text), by all windows."""
+    holders = defaultdict(set)
+    for doc_id, text in rows:
+        data = (text or "").encode()
+        for i in range(len(data) - least + 1):
+            holders[data[i : i + least]].add((doc_id, text))
+    out = []
+    for _, text in rows:
+        data = (text or "").encode()
+        held = np.zeros(len(data) + 2, dtype=bool)
+        for i in range(len(data) - least + 1):
+            if len(holders[data[i : i + least]]) > 1:
+                held[i + 1 : i + 1 + least] = True
+        out.append((int((np.diff(held.astype(int)) == 1).sum()), int(held.sum())))
+    return out
+
+
+@pytest.mark.parametrize("members", [2, 2048])
+def test_shorter_passages_of_other_documents_are_counted(spark, members):
+    texts = repeating_texts(7)
+    rows = list(enumerate(texts)) + [(20, texts[20]), (None, texts[21]), (None, "q" * 90), (None, "q" * 90)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = repeats.remove_repeats(docs, 45, 6, members, passage=20).drop("spans").collect()
+    removed, passages = plain_removal([t for _, t in rows], 45), plain_passages(rows, 20)
+    want = Counter((doc_id, *cut, *held) for (doc_id, _), cut, held in zip(rows, removed, passages, strict=True))
+    assert Counter(map(tuple, got)) == want
+    assert any(not cut[1] and held[0] for cut, held in zip(removed, passages, strict=True)), "passages too short to remove"
+    assert any(cut[1] and not held[0] for cut, held in zip(removed, passages, strict=True)), "repeats inside one document"
+
+
+def test_passage_below_the_removed_length_is_seen(spark):
+    rng = random.Random(5)
+
+    def prose(n):
+        return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n))
+
+    passage = prose(60)[:300]
+    texts = [f"{prose(80)} {passage} {prose(80)}", f"{prose(30)} {passage}", prose(200), f"{passage[:200]} {prose(50)}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted(repeats.remove_repeats(docs, passage=256).collect())
+    assert [r["n_removed"] for r in got] == [0, 0, 0, 0], "strings of 400 bytes only"
+    assert [r["n_passages"] for r in got] == [1, 1, 0, 0]
+    assert all(300 <= r["n_passage_bytes"] <= 303 for r in got[:2])
+
+
+def test_runs_of_two_lengths_across_chunks(monkeypatch):
+    monkeypatch.setattr(repeats, "CHUNK", 50)
+    repeats._powers.cache_clear()
+    texts = repeating_texts(5)
+    found = [list(repeats.runs((t or "").encode(), 20, 6, 45)) for t in texts]
+    repeats._powers.cache_clear()
+    for text, own in zip(texts, found, strict=True):
+        n = len((text or "").encode())
+        places = [p for p, *_ in own]
+        assert places == sorted(set(places)), "one run a place"
+        for size in (20, 45):
+            starts = {k for p, first, last, *_ in own for k in range(p + first, p + last + 20 - size + 1)}
+            assert starts == set(range(max(0, n - size + 1)))
+
+
 def test_maximal_repeats_of_an_anchor():
     texts = [b"xxabcANCHORdefyy", b"zzabcANCHORdefww", b"qqqbcANCHORdeg", b"no ANCHOR"]
     members = [(t, t.index(b"ANCHOR")) for t in texts]
