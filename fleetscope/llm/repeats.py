@@ -118,9 +118,13 @@ def runs(data: bytes, least: int = LEAST, gram: int = GRAM, longest: int | None
 
 
 def _runs(rows: Iterable[tuple], least: int, gram: int, longest: int) -> Iterator[tuple]:
+    """Runs that are alike in a text, as in one of a short period, are one row with their places."""
     for doc_id, tie, text in rows:
-        for run in runs((text or "").encode(), least, gram, longest):
-            yield (doc_id, tie, *run)
+        alike: dict[tuple, list[int]] = {}
+        for place, *run in runs((text or "").encode(), least, gram, longest):
+            alike.setdefault(tuple(run), []).append(place)
+        for run, places in alike.items():
+            yield doc_id, tie, places, *run
 
 
 def _bodies(rows: Iterable[tuple], least: int) -> Iterator[tuple]:
@@ -241,22 +245,22 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def corpus_runs(texts: DataFrame, least: int, gram: int, longest: int | None = None) -> DataFrame:
     """The runs of anchors that occur twice or more; only these can share a window."""
-    schema = "doc_id bigint, tie bigint, place bigint, first int, last int, anchor bigint, content bigint"
+    schema = "doc_id bigint, tie bigint, places array<bigint>, first int, last int, anchor bigint, content bigint"
     found = written(map_rows(texts, partial(_runs, least=least, gram=gram, longest=longest or least), schema))
-    anchors = found.groupBy("anchor").count().where("count > 1")
+    anchors = found.groupBy("anchor").agg(F.sum(F.size("places")).alias("n")).where("n > 1")
     return written(found.join(anchors, "anchor", "left_semi").select(*found.columns))
 
 
-def shared_contents(texts: DataFrame, places: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Contents of the runs in places, and (bodies) those of anchors with several contents
+def shared_contents(texts: DataFrame, found: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """Contents of the runs found, and (bodies) those of anchors with several contents
     with the bytes of one occurrence each.
 
     owner is one of the documents that hold a content, spread tells if there are several.
     """
-    one = F.min(F.struct("doc_id", "tie", "place", "first", "last")).alias("one")
+    one = F.min(F.struct("doc_id", "tie", F.col("places")[0].alias("place"), "first", "last")).alias("one")
     owner = F.xxhash64("doc_id", "tie")
-    contents = places.groupBy("anchor", "content").agg(
-        F.count("*").alias("n"), F.min(owner).alias("owner"), (F.min(owner) != F.max(owner)).alias("spread"), one
+    contents = found.groupBy("anchor", "content").agg(
+        F.sum(F.size("places")).alias("n"), F.min(owner).alias("owner"), (F.min(owner) != F.max(owner)).alias("spread"), one
     )
     anchors = contents.groupBy("anchor").agg(F.count("*").alias("members"))
     shared = checkpointed(contents.join(anchors, "anchor"))
@@ -265,9 +269,9 @@ def shared_contents(texts: DataFrame, places: DataFrame, least: int) -> tuple[Da
         F.collect_list(F.struct("place", "first", "last", "anchor", "content", "n", "members", "owner", "spread")).alias("wanted")
     )
     w, t = wanted.alias("w"), texts.alias("t")
-    found = t.join(w, (F.col("t.tie") == F.col("w.tie")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")))
+    joined = t.join(w, (F.col("t.tie") == F.col("w.tie")) & F.col("t.doc_id").eqNullSafe(F.col("w.doc_id")))
     bodies = map_rows(
-        found.select("text", "wanted"),
+        joined.select("text", "wanted"),
         partial(_bodies, least=least),
         "anchor bigint, content bigint, n bigint, members bigint, first int, last int, body binary, owner bigint, spread boolean",
     )
@@ -303,22 +307,22 @@ def _counted(bodies: DataFrame, size: int, members: int, across: bool = False) -
 
 
 def covered_contents(
-    texts: DataFrame, places: DataFrame, least: int = LEAST, members: int = MEMBERS, passage: int | None = None
+    texts: DataFrame, found: DataFrame, least: int = LEAST, members: int = MEMBERS, passage: int | None = None
 ) -> DataFrame:
     """(anchor, content, from, to, across), relative to the anchor: the range of the bytes
     that each content shares with another place (strings of least bytes) and, across, with
-    another document (strings of passage bytes; places are the runs of that length)."""
+    another document (strings of passage bytes; found are the runs of that length)."""
     passage = passage or least
-    shared, bodies = shared_contents(texts, places, passage)
-    found = map_rows(
+    shared, bodies = shared_contents(texts, found, passage)
+    ranges = map_rows(
         _sorted(bodies, members),
         partial(_covered, least=least, passage=passage),
         "anchor bigint, content bigint, `from` int, `to` int, across boolean",
     )
     for across, size in ((False, least), (True, passage)):
         more = _whole(shared, passage, size, across).unionByName(_counted(bodies, size, members, across))
-        found = found.unionByName(more.withColumn("across", F.lit(across)))
-    return found
+        ranges = ranges.unionByName(more.withColumn("across", F.lit(across)))
+    return ranges
 
 
 def repeat_occurrences(
@@ -340,7 +344,7 @@ def repeat_occurrences(
     whole = _whole(shared, least, least).withColumn("repeat", F.lit(-1))
     counted = _counted(bodies, least, members).withColumn("repeat", F.lit(-2))
     found = by_tree.unionByName(whole).unionByName(counted)
-    places = runs_of.join(found, ["anchor", "content"])
+    places = runs_of.join(found, ["anchor", "content"]).withColumn("place", F.explode("places"))
     return places.select(
         "anchor", "repeat", "doc_id", (F.col("place") + F.col("from")).alias("start"), (F.col("place") + F.col("to")).alias("end")
     )
@@ -357,10 +361,11 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _kept(rows: Iterable[tuple]) -> Iterator[tuple]:
-    for doc_id, text, places in rows:
+    for doc_id, text, ranges in rows:
         data = text.encode()
         spans, passages = (
-            merged((r["start"], r["end"]) for r in places or [] if r["across"] == across) for across in (False, True)
+            merged((p + r["from"], p + r["to"]) for r in ranges or [] if r["across"] == across for p in r["places"])
+            for across in (False, True)
         )
         digest, at, removed = sha256(), 0, 0
         for start, end in spans:
@@ -392,12 +397,11 @@ def remove_repeats(
     texts = keyed(docs)
     found = corpus_runs(texts, passage, gram, least)
     hits = found.join(covered_contents(texts, found, least, members, passage), ["anchor", "content"])
-    span = F.struct((F.col("place") + F.col("from")).alias("start"), (F.col("place") + F.col("to")).alias("end"), "across")
-    places = hits.groupBy("doc_id", "tie").agg(F.collect_list(span).alias("places"))
-    p, t = places.alias("p"), texts.alias("t")
+    ranges = hits.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("places", "from", "to", "across")).alias("ranges"))
+    p, t = ranges.alias("p"), texts.alias("t")
     joined = t.join(p, (F.col("t.tie") == F.col("p.tie")) & F.col("t.doc_id").eqNullSafe(F.col("p.doc_id")), "left")
     return map_rows(
-        joined.select("t.doc_id", "text", "places"),
+        joined.select("t.doc_id", "text", "ranges"),
         _kept,
         "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<bigint>, "
         "n_passages bigint, n_passage_bytes bigint",
