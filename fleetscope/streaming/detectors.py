@@ -472,30 +472,26 @@ def _buffer_levels(buffers: DataFrame, warning: float, critical: float) -> DataF
 def resync_after_pressure(buffers: DataFrame, syncs: DataFrame, warning: float = 0.6, critical: float = 0.9) -> DataFrame:
     """Full syncs right after a pressured replica's connection vanished; once per five minutes.
 
-    ``syncs`` has (connection_id, ts_ms, sync_full_delta) per poll. Pressure and syncs meet in
-    five-minute buckets.
+    ``syncs`` has (connection_id, ts_ms, sync_full_delta) per poll. Sightings and syncs are read once in order
+    of time, in slots of an hour; sightings of a slot's last five minutes are also handed to the next one.
     """
     levels = _buffer_levels(buffers, warning, critical)
-    bucket = F.floor(F.col("ts_ms") / PRESSURE_MEMORY_MS)
-    # A later healthy sighting clears the memory: keep the last sighting of each replica per bucket pair.
-    sightings = levels.select("connection_id", "addr", "ts_ms", "pressured")
-    reach = sightings.withColumn("_b", F.explode(F.array(bucket, bucket + 1))).select(
-        "connection_id", "_b", "addr", F.col("ts_ms").alias("seen_ms"), "pressured"
-    )
-    polls = syncs.where(F.col("sync_full_delta") > 0).select("connection_id", "ts_ms", bucket.alias("_b"))
-    latest = (
-        polls.join(reach, ["connection_id", "_b"])
-        .where((F.col("seen_ms") <= F.col("ts_ms")) & (F.col("ts_ms") - F.col("seen_ms") <= PRESSURE_MEMORY_MS))
-        .groupBy("connection_id", "ts_ms", "addr")
-        .agg(F.max(F.struct("seen_ms", "pressured")).alias("s"))
-        .where(F.col("s.pressured") & (F.col("s.seen_ms") < F.col("ts_ms")))
-    )
-    hits = latest.groupBy("connection_id", "ts_ms").agg(F.max_by("addr", F.struct("s.seen_ms", "addr")).alias("addr"))
-    fired = fold_history(
-        hits.select("connection_id", "ts_ms"), ["connection_id"], ["ts_ms"], folds.cooldown(PRESSURE_MEMORY_MS, True),
-        "ts_ms bigint", forgets_ms=PRESSURE_MEMORY_MS,
+    known = F.col("connection_id").isNotNull() & F.col("ts_ms").isNotNull()
+    slot = F.floor(F.col("ts_ms") / HOUR_MS)
+    late = F.pmod(F.col("ts_ms"), F.lit(HOUR_MS)) >= HOUR_MS - PRESSURE_MEMORY_MS
+    seen = levels.where(known).groupBy("connection_id", "addr", "ts_ms").agg(F.max("pressured").alias("pressured"))
+    sightings = seen.withColumn("_slot", F.explode(F.when(late, F.array(slot, slot + 1)).otherwise(F.array(slot))))
+    polls = syncs.where(known & (F.col("sync_full_delta") > 0)).select("connection_id", "ts_ms").distinct().withColumn("_slot", slot)
+    # A healthy sighting at the time of a sync clears the memory, so sightings come before syncs (_kind).
+    both = sightings.withColumn("_kind", F.lit(0)).unionByName(polls.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
+    out = f"ts_ms bigint, addr {dict(buffers.dtypes)['addr']}"
+    hits = fold_history(
+        both.select("connection_id", "_slot", F.col("ts_ms").cast("bigint").alias("ts_ms"), F.col("_kind").alias("kind"), "addr", "pressured"),
+        ["connection_id", "_slot"], ["ts_ms", "kind", "addr"], folds.sync_after_pressure(PRESSURE_MEMORY_MS), out,
+    ).drop("_slot")
+    return fold_history(
+        hits, ["connection_id"], ["ts_ms"], folds.cooldown(PRESSURE_MEMORY_MS, True, ("addr",)), out, forgets_ms=PRESSURE_MEMORY_MS
     )
-    return fired.join(hits, ["connection_id", "ts_ms"])
 
 
 def unexplained_resyncs(syncs: DataFrame, window_ms: int = PRESSURE_MEMORY_MS, needed: int = 2) -> DataFrame:

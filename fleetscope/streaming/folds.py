@@ -38,15 +38,37 @@ def anchored_window(width_ms: int):
     return step
 
 
-def cooldown(wait_ms: int, at_boundary: bool = False):
-    """Pass a row only when enough time went by since the last passed row."""
+def cooldown(wait_ms: int, at_boundary: bool = False, carried: tuple[str, ...] = ()):
+    """Pass a row only when enough time went by since the last passed row; its ``carried`` columns come along."""
 
     def step(state, row):
         last = state.get("at")
         gap = None if last is None else row.ts_ms - last
         if gap is None or gap > wait_ms or (at_boundary and gap == wait_ms):
             state["at"] = row.ts_ms
-            yield (row.ts_ms,)
+            yield (row.ts_ms, *[getattr(row, c) for c in carried])
+
+    return step
+
+
+def sync_after_pressure(memory_ms: int):
+    """Syncs (kind 1) with the replica last seen before, if it was pressured then. (ts_ms, kind, addr, pressured).
+
+    The state has the pressured replicas in the order of their last sighting (kind 0), so the newest is at its end.
+    """
+
+    def step(state, row):
+        if row.kind == 0:
+            state.pop(row.addr, None)
+            if row.pressured:
+                state[row.addr] = row.ts_ms
+            return
+        for addr in reversed(state):
+            if state[addr] == row.ts_ms:
+                continue  # seen at this very time
+            if row.ts_ms - state[addr] <= memory_ms:
+                yield (row.ts_ms, addr)
+            break
 
     return step
 
