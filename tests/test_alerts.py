@@ -3,6 +3,9 @@
 import math
 import random
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,3 +77,50 @@ def test_readings_never_meet_all_settings(spark):
     assert rows(got, "subscriber", "id") == [("s0", 4), ("s1", 5), ("s2", 6)]
     plan = got._jdf.queryExecution().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+@pytest.fixture
+def plain(spark):
+    """Shuffles as planned, so that partitions show how rows are dealt out."""
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def crossing(spark, kinds):
+    """400 readings of each kind; every other one is over the default of its kind."""
+    rows_ = spark.range(400 * len(kinds)).withColumn("alert", F.array(*map(F.lit, kinds))[(F.col("id") % len(kinds)).cast("int")])
+    value = F.when(F.floor(F.col("id") / len(kinds)) % 2 == 0, 1000.0).otherwise(0.0)
+    return rows_.select(F.lit("c").alias("connection_id"), "alert", (F.col("id") * 1000).alias("ts_ms"), "id", value.alias("value"))
+
+
+def test_alerts_of_one_setting_spread_over_tasks(plain):
+    """All subscribers share the default and one connection fires often: that product is not one task's."""
+    n = 6_000
+    asked = plain.range(n).select(F.format_string("s%d", "id").alias("subscriber"), F.lit("slowlog_count").alias("alert"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("above"))
+    got = D.threshold_alerts(crossing(plain, ["slowlog_count"]), asked)
+    dealt = got.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in dealt) == n * 200
+    assert len(dealt) > 1 and max(r["count"] for r in dealt) <= n * 200 / 2
+    assert got.groupBy("subscriber").count().where("count = 200").count() == n
+
+
+def test_crossed_limits_come_out_in_bounded_batches():
+    rise = np.arange(200_000.0)
+    limits = {"slowlog_count": {True: np.stack([rise, rise * 0.9, rise, np.ones(len(rise))])}}
+    values = [150_000.0, 0.5, 90_000.0, 199_999.0, -1.0, 30.0]
+    batch = pa.RecordBatch.from_pydict(
+        {"connection_id": ["c"] * 6, "alert": ["slowlog_count"] * 6, "ts_ms": [*range(6)], "id": [*range(6)], "value": values, "_from": [None, *values[:-1]]}
+    )
+    made = [b.to_pandas() for b in D._crossed(iter([batch]), limits)]
+    rows_of = pd.concat(made)
+    assert all(len(b) <= D.MARK_ROWS or b["id"].nunique() == 1 for b in made) and len(made) > 3
+    for i, (was, now) in enumerate(zip([None, *values[:-1]], values)):
+        up = (rise <= now) & ~(rise <= was if was is not None else rise < -1)
+        down = (rise * 0.9 > now) & (rise * 0.9 <= was) if was is not None else rise < -1
+        for mark, want in ((1, up), (0, down)):
+            assert sorted(rows_of[(rows_of["id"] == i) & (rows_of["_mark"] == mark)]["limit_value"]) == [*rise[want]]
