@@ -101,8 +101,9 @@ def crossing(spark, kinds):
 def test_alerts_of_one_setting_spread_over_tasks(plain):
     """All subscribers share the default and one connection fires often: that product is not one task's."""
     n = 6_000
-    asked = plain.range(n).select(F.format_string("s%d", "id").alias("subscriber"), F.lit("slowlog_count").alias("alert"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("above"))
-    got = D.threshold_alerts(crossing(plain, ["slowlog_count"]), asked)
+    # columns that no plan can take for constants, which would make the join a product
+    asked = plain.createDataFrame([(f"s{i}", "slowlog_count", None, True) for i in range(n)], SUBSCRIBERS)
+    got = D.threshold_alerts(crossing(plain, ["slowlog_count"]), asked.repartition(4))
     dealt = got.groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in dealt) == n * 200
     assert len(dealt) > 1 and max(r["count"] for r in dealt) <= n * 200 / 2
@@ -124,3 +125,13 @@ def test_crossed_limits_come_out_in_bounded_batches():
         down = (rise * 0.9 > now) & (rise * 0.9 <= was) if was is not None else rise < -1
         for mark, want in ((1, up), (0, down)):
             assert sorted(rows_of[(rows_of["id"] == i) & (rows_of["_mark"] == mark)]["limit_value"]) == [*rise[want]]
+
+
+def test_alerts_of_each_kind_spread_over_tasks(plain):
+    kinds = ["slowlog_count", "memory_critical"]
+    asked = plain.createDataFrame([(f"s{i}", kinds[i % 2], None, True) for i in range(8_000)], SUBSCRIBERS)
+    got = D.threshold_alerts(crossing(plain, kinds), asked.repartition(4))
+    dealt = got.groupBy("alert", F.spark_partition_id()).count().collect()
+    for kind in kinds:
+        own = [r["count"] for r in dealt if r["alert"] == kind]
+        assert sum(own) == 4_000 * 200 and len(own) > 1
