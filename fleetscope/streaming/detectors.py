@@ -716,7 +716,7 @@ def auth_failure_bursts(
     cumulative counters. An entry first seen counts in full only if it was created inside the window.
     """
     entry = ["connection_id", "entry_id"]
-    seen = with_previous(entries.where(F.col("reason") == reason), entry, ["ts_ms"], {"_c": "count", "_at": "ts_ms"}, DAY_MS)
+    seen = with_previous(entries.where(F.col("reason") == reason), entry, ["ts_ms"], {"_c": "count", "_at": "ts_ms"}, HOUR_MS)
     known = F.col("_c").isNotNull() & (F.col("ts_ms") - F.col("_at") < window_ms * 4)
     delta = F.when(known, F.greatest(F.lit(0), F.col("count") - F.col("_c"))).otherwise(
         F.when(F.col("created_ms") >= F.col("ts_ms") - window_ms, F.col("count")).otherwise(0)
@@ -724,16 +724,18 @@ def auth_failure_bursts(
     source = ["connection_id", "client_ip"]
     grown = (
         seen.withColumn("client_ip", audit_ip(F.col("client_info")))
-        .where(F.coalesce("client_ip", F.lit("")) != "")
+        .where((F.coalesce("client_ip", F.lit("")) != "") & F.col("connection_id").isNotNull() & F.col("ts_ms").isNotNull())
         .groupBy(*source, "ts_ms")
-        .agg(F.sum(delta).alias("_d"))
+        .agg(F.sum(delta).cast("bigint").alias("_d"))
     )
-    summed = over_trailing_range(grown, source, "ts_ms", window_ms, {"failures": F.sum("_d")}, inclusive=False)
-    hits = summed.where(F.col("failures") >= needed).select(*source, "ts_ms", "failures")
-    fired = fold_history(
-        hits.select(*source, "ts_ms"), source, ["ts_ms"], folds.cooldown(wait_ms), "ts_ms bigint", forgets_ms=wait_ms
+    # What grew comes in at its time and goes out again a window later, before what comes in then (_in): one running sum.
+    change = lambda at, d, comes: F.struct(at.alias("ts_ms"), d.alias("_d"), F.lit(comes).alias("_in"))
+    both = F.explode(F.array(change(F.col("ts_ms"), F.col("_d"), True), change(F.col("ts_ms") + window_ms, -F.col("_d"), False)))
+    summed = with_running_sum(grown.select(*source, both.alias("e")).select(*source, "e.*"), source, ["ts_ms", "_in"], {"failures": "_d"}, HOUR_MS)
+    hits = summed.where(F.col("_in") & (F.col("failures") >= needed)).select(*source, "ts_ms", "failures")
+    return fold_history(
+        hits, source, ["ts_ms"], folds.cooldown(wait_ms, carried=("failures",)), "ts_ms bigint, failures bigint", forgets_ms=wait_ms
     )
-    return fired.join(hits, [*source, "ts_ms"])
 
 
 def sla_breaches(ticks: DataFrame, limit_us: float, wait_ms: int = 600_000) -> DataFrame:

@@ -16,7 +16,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetscope.operators.series import DAY_MS, with_previous, with_running_sum
@@ -58,10 +58,13 @@ def fold_history(
     keys = list(keys)
     groups = keys
     if forgets_ms is not None:
-        seen = with_previous(df, keys, order, {"_last": order[0]}, slice_ms)
-        fresh = F.coalesce(F.col(order[0]) - F.col("_last") > forgets_ms, F.lit(True)).cast("bigint")
-        df = with_running_sum(seen.withColumn("_fresh", fresh), keys, order, {"_pause": "_fresh"}, slice_ms)
-        df = df.drop("_last", "_fresh")
+        # Rows further apart than a slot is wide lie in two slots, so a pause ends with the first row of a slot.
+        slot, time = F.floor(F.col(order[0]) / forgets_ms).alias("_slot"), F.col(order[0])
+        spans = df.groupBy(*keys, slot).agg(F.min(time).alias("_first"), F.max(time).alias("_last"))
+        along = Window.partitionBy(*keys).orderBy("_slot")
+        fresh = F.coalesce(F.col("_first") - F.lag("_last").over(along) > forgets_ms, F.lit(True)).cast("bigint")
+        pauses = spans.withColumn("_fresh", fresh).select(*keys, "_slot", F.sum("_fresh").over(along).alias("_pause"))
+        df = df.withColumn("_slot", slot).join(pauses, [*keys, "_slot"], "left").drop("_slot")
         groups = [*keys, "_pause"]
     if closes is not None:
         marked = df.withColumn("_closes", F.coalesce(closes, F.lit(False)))
