@@ -1,32 +1,41 @@
 """Nearest neighbours by cosine distance.
 
-Exact search runs as a blocked join:
+Exact search streams the corpus past blocks of queries:
 
 * equal corpus vectors are cut to their ``k`` smallest ids and equal queries are
   searched once, so a mass of copies costs one vector on either side;
-* corpus rows are assigned to the nearest of a fixed number of pivots; each cell
-  keeps its size and radius. On unit vectors the triangle inequality bounds how
-  far a cell can be, so a query is sent only to cells that may hold one of its
-  ``k`` nearest (PGBJ, Lu et al., VLDB 2012);
-* cells are cut into chunks of bounded size and queries into salts, and each
-  (cell, chunk, salt) block is one small matrix product that emits ``k`` rows
-  per query. One final ranking picks the best ``k`` over blocks.
-
-No task ever holds more than one chunk and one query salt.
+* queries are dealt into salts of bounded size. A task holds the queries of one
+  salt and their ``k`` nearest so far, and reads the entries one batch at a time,
+  so the corpus is shuffled once per salt and ``k`` rows per query come out;
+* entries come in the order of their nearest of a fixed number of pivots. A batch
+  is met only by queries that may have one of their ``k`` nearest in the ball around it
+  (triangle inequality on unit vectors, as in PGBJ, Lu et al., VLDB 2012);
+* cosines of a batch are taken in single precision. Pairs that may be among the ``k`` nearest,
+  given its error, are measured in double precision.
+
+No task ever holds more than one salt of queries and one batch of entries.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 CHUNK_ROWS = 8_192
-QUERY_ROWS = 4_096
+#: Values (rows x dimensions) of the queries of one salt, and the fewest rows for which a further salt is worth its copy of the corpus.
+QUERY_VALUES = 2_097_152
+QUERY_ROWS = 2_048
+#: Salts up to which few queries are spread for the sake of parallel tasks.
+SPREAD = 8
+#: Queries and entries whose cosines are held at once.
+TILE = 1_024
 MAX_PIVOTS = 64
 DISTANCE_DIGITS = 12
 
@@ -40,22 +49,70 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.where(norms > 0, norms, 1.0)
 
 
-def _top_k(
-    query_ids: np.ndarray, queries: np.ndarray, entry_ids: np.ndarray, entries: np.ndarray, k: int
-) -> pd.DataFrame:
-    """Best ``k`` entries of one block per query, ties by id."""
-    order = np.argsort(entry_ids, kind="stable")
-    ids, unit = entry_ids[order], _unit(entries[order])
-    distances = np.round(1.0 - _unit(queries) @ unit.T, DISTANCE_DIGITS)
-    best = np.argsort(distances, axis=1, kind="stable")[:, :k]
-    rows = np.arange(len(query_ids))[:, None]
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat(query_ids, best.shape[1]),
-            "entry_id": ids[best].ravel(),
-            "distance": distances[rows, best].ravel(),
-        }
-    )
+class _Nearest:
+    """The queries of one block with their ``k`` nearest entries so far, ties by id."""
+
+    def __init__(self, ids: list[np.ndarray], vectors: list[np.ndarray], k: int):
+        self.ids, self.unit, self.k = np.concatenate(ids), _unit(np.concatenate(vectors)), k
+        self.single = self.unit.astype("float32")
+        n = len(self.ids)
+        self.entry: np.ndarray | None = None
+        self.distance = np.full((n, k), np.inf)
+        self.filled = np.zeros(n, dtype="int64")
+        # Most that a cosine in single precision is off.
+        self.margin = (self.unit.shape[1] + 8) * 2.0**-23
+
+    def meet(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        unit = _unit(vectors)
+        single = unit.astype("float32")
+        if self.entry is None:
+            self.entry = np.zeros((len(self.ids), self.k), dtype=ids.dtype)
+        elif self.entry.dtype != ids.dtype:
+            self.entry = self.entry.astype(np.result_type(self.entry, ids))
+        centre = _unit(unit.mean(axis=0, keepdims=True))[0]
+        radius = np.linalg.norm(unit - centre, axis=1).max()
+        for low in range(0, len(self.ids), TILE):
+            at = np.arange(low, min(low + TILE, len(self.ids)))
+            worst = np.where(self.filled[at] < self.k, np.inf, self.distance[at, -1])
+            to_centre = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * self.unit[at] @ centre))
+            far = to_centre - radius > np.sqrt(np.maximum(0.0, 2.0 * worst)) + 1e-5
+            at, worst = at[~far], worst[~far]
+            if len(at):
+                self._compare(at, worst, ids, unit, single)
+
+    def _compare(self, at: np.ndarray, worst: np.ndarray, ids: np.ndarray, unit: np.ndarray, single: np.ndarray) -> None:
+        cosine = self.single[at] @ single.T
+        least = 1.0 - worst - self.margin - 10.0**-DISTANCE_DIGITS
+        if not np.isfinite(worst).all() and len(ids) > self.k:
+            among = np.partition(cosine, len(ids) - self.k, axis=1)[:, len(ids) - self.k]
+            least = np.fmax(least, among - 2 * self.margin - 10.0**-DISTANCE_DIGITS)
+        # Below is false for what is no number, so that such pairs come last instead of never.
+        q, e = np.divmod(np.flatnonzero(~(cosine < least.astype("float32")[:, None])), len(ids))
+        if not len(q):
+            return
+        dot = np.concatenate([np.einsum("nd,nd->n", self.unit[at[q[i : i + 65_536]]], unit[e[i : i + 65_536]]) for i in range(0, len(q), 65_536)])
+        rows, inverse = np.unique(at[q], return_inverse=True)
+        had, place = np.nonzero(np.arange(self.k)[None, :] < self.filled[rows][:, None])
+        row = np.concatenate([had, inverse])
+        distance = np.concatenate([self.distance[rows[had], place], np.round(1.0 - dot, DISTANCE_DIGITS)])
+        entry = np.concatenate([self.entry[rows[had], place], ids[e]])
+        order = np.lexsort((entry, distance, row))
+        row, distance, entry = row[order], distance[order], entry[order]
+        starts = np.searchsorted(row, np.arange(len(rows)))
+        rank = np.arange(len(row)) - starts[row]
+        best = rank < self.k
+        self.distance[rows[row[best]], rank[best]], self.entry[rows[row[best]], rank[best]] = distance[best], entry[best]
+        self.filled[rows] = np.minimum(np.bincount(row, minlength=len(rows)), self.k)
+
+    def found(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        if self.entry is None:
+            return
+        for low in range(0, len(self.ids), 65_536):
+            q, place = np.nonzero(np.arange(self.k)[None, :] < self.filled[low : low + 65_536][:, None])
+            q += low
+            columns = (self.ids[q], self.entry[q, place], self.distance[q, place])
+            made = [pa.array(c, type=f.type, from_pandas=f.name != "distance") for c, f in zip(columns, schema)]
+            yield pa.RecordBatch.from_arrays(made, schema=schema)
 
 
 def _has_direction(column: str) -> Column:
@@ -81,45 +138,69 @@ def _prepared(corpus: DataFrame, queries: DataFrame, k: int, match: Sequence[str
 
 
 def _search_blocks(
-    entries: DataFrame, routed: DataFrame, k: int, blocks: Sequence[str], n_queries: int
+    entries: DataFrame, asked: DataFrame, k: int, blocks: Sequence[str], salts: Column | int, order: Sequence[str] = ()
 ) -> DataFrame:
-    """Blocked search of routed queries in the cells of the entries.
+    """Search of the asked queries among the entries of equal ``blocks``, which are read in the given order.
 
-    Both sides carry the block columns (cell and equality tags). Cells larger than a chunk
-    are split by id hash; queries are split into salts and the entries copied per salt.
+    The queries of a block are dealt to ``salts`` (a number, or one for each block from its number of queries ``_n``),
+    and the entries of the block copied for each of them.
     """
-    salts = max(1, -(-n_queries // QUERY_ROWS))
-    sizes = entries.groupBy(*blocks).agg(
-        F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("_chunks")
-    )
-    split = (
-        entries.join(sizes, list(blocks))
-        .withColumn("_chunk", F.pmod(F.xxhash64("entry_id"), F.col("_chunks")).cast("int"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        .drop("_chunks")
-    )
-    sent = (
-        routed.join(sizes, list(blocks))
-        .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-        .withColumn("_salt", F.pmod(F.xxhash64("query_id"), F.lit(salts)).cast("int"))
-        .drop("_chunks")
-    )
-    keys = [*blocks, "_chunk", "_salt"]
+    keys = [*blocks, "_salt"]
+    if isinstance(salts, int):
+        dealt = asked.withColumn("_salt", F.pmod(F.xxhash64("query_id"), F.lit(salts)).cast("int"))
+        copied = entries.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    else:
+        sizes = asked.groupBy(*blocks).agg(F.count(F.lit(1)).alias("_n")).withColumn("_salts", salts).drop("_n")
+        dealt = asked.join(sizes, list(blocks)).withColumn("_salt", F.pmod(F.xxhash64("query_id"), F.col("_salts")).cast("int"))
+        copied = entries.join(sizes, list(blocks)).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1)))
     # Both sides may derive from one table: fresh aliases keep their columns apart.
-    split = split.select(*[F.col(c).alias(c) for c in split.columns])
-    sent = sent.select(*[F.col(c).alias(c) for c in sent.columns])
-    kinds = dict(entries.dtypes)
-    schema = f"query_id {dict(routed.dtypes)['query_id']}, entry_id {kinds['entry_id']}, distance double"
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "entry_id": [], "distance": []})
-        return _top_k(
-            left["query_id"].to_numpy(), _stack(left["embedding"]),
-            right["entry_id"].to_numpy(), _stack(right["embedding"]), k,
-        )
-
-    return sent.groupBy(*keys).cogroup(split.groupBy(*keys)).applyInPandas(search, schema)
+    told = lambda df, kind, ids, *more: df.select(*[F.col(c).alias(c) for c in (*keys, *more, ids, "embedding")], F.lit(kind).alias("_kind"))
+    rows = told(dealt, 0, "query_id").unionByName(told(copied, 1, "entry_id", *order), allowMissingColumns=True)
+    spread = rows.repartition(*keys) if blocks else rows.repartitionById(salts, F.col("_salt"))
+    sent = spread.sortWithinPartitions(*keys, "_kind", *order).select(*keys, "_kind", "query_id", "entry_id", "embedding")
+    kinds = dict(sent.dtypes)
+    out = f"query_id {kinds['query_id']}, entry_id {kinds['entry_id']}, distance double"
+    made = to_arrow_schema(T._parse_datatype_string(out))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        ids: list[np.ndarray] = []
+        vectors: list[np.ndarray] = []
+        nearest: _Nearest | None = None
+        for batch in batches:
+            columns = [batch.column(c) for c in (*keys, "_kind")]
+            codes = [c.dictionary_encode().indices.to_numpy(zero_copy_only=False) for c in columns]
+            change = np.any([c[1:] != c[:-1] for c in codes], axis=0)
+            edges = np.r_[0, np.flatnonzero(change) + 1, batch.num_rows]
+            for start, end in zip(edges[:-1], edges[1:]):
+                if start == end:
+                    continue
+                *own, kind = (c[int(start)].as_py() for c in columns)
+                if key != tuple(own):
+                    if nearest is not None:
+                        yield from nearest.found(made)
+                    key, ids, vectors, nearest = tuple(own), [], [], None
+                part = batch.slice(start, end - start)
+                values = _matrix(part.column("embedding"))
+                if kind == 0:
+                    ids.append(_ids(part.column("query_id")))
+                    vectors.append(values)
+                elif ids:
+                    nearest = nearest or _Nearest(ids, vectors, k)
+                    for low in range(0, len(values), CHUNK_ROWS):
+                        nearest.meet(_ids(part.column("entry_id"))[low : low + CHUNK_ROWS], values[low : low + CHUNK_ROWS])
+        if nearest is not None:
+            yield from nearest.found(made)
+
+    return sent.mapInArrow(search, out)
+
+
+def _ids(column: pa.Array) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(len(column), -1)
 
 
 def _ranked(found: DataFrame, mapping: DataFrame, k: int) -> DataFrame:
@@ -150,52 +231,29 @@ def knn(
     entries, asked, mapping = _prepared(corpus, queries, k, match)
     # Sizes before removing copies are upper bounds and come from file footers where nothing filters.
     n_queries = queries.count()
+    rows = _salt_rows(asked)
+    if match:
+        return _ranked(_search_blocks(entries, asked, k, match, F.ceil(F.col("_n") / rows).cast("int")), mapping, k)
+    salts = max(-(-n_queries // rows), min(SPREAD, -(-n_queries // QUERY_ROWS)), 1)
     wanted = pivots or min(MAX_PIVOTS, max(1, corpus.count() // CHUNK_ROWS))
-    if wanted == 1 or match:
-        # One cell (per tag): blocks alone keep tasks small.
-        cells = entries.withColumn("_cell", F.lit(0))
-        routed = asked.withColumn("_cell", F.lit(0))
-        return _ranked(_search_blocks(cells, routed, k, ["_cell", *match], n_queries), mapping, k)
+    if wanted == 1:
+        return _ranked(_search_blocks(entries, asked, k, [], salts), mapping, k)
 
     # A fixed number of pivot vectors, the first in hash order: bounded whatever the corpus size.
     anchors = _unit(_stack(r[0] for r in entries.orderBy(F.xxhash64("entry_id")).select("embedding").limit(wanted).collect()))
 
-    @F.pandas_udf(T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("dist", T.DoubleType())]))
-    def nearest(vectors: pd.Series) -> pd.DataFrame:
-        cosines = np.clip(_unit(_stack(vectors)) @ anchors.T, -1.0, 1.0)
-        cell = cosines.argmax(axis=1)
-        dist = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cosines[np.arange(len(cell)), cell]))
-        return pd.DataFrame({"cell": cell.astype("int32"), "dist": dist})
+    @F.pandas_udf("int")
+    def nearest(vectors: pd.Series) -> pd.Series:
+        return pd.Series((_unit(_stack(vectors)) @ anchors.T).argmax(axis=1).astype("int32"))
 
-    assigned = entries.withColumn("_n", nearest("embedding")).select(
-        "entry_id", "embedding", F.col("_n.cell").alias("_cell"), F.col("_n.dist").alias("_dist")
-    )
-    stats = {
-        r["_cell"]: (r["n"], r["radius"])
-        for r in assigned.groupBy("_cell").agg(F.count(F.lit(1)).alias("n"), F.max("_dist").alias("radius")).collect()
-    }
-    members = np.array([stats.get(i, (0, 0.0))[0] for i in range(len(anchors))])
-    radii = np.array([stats.get(i, (0, 0.0))[1] for i in range(len(anchors))])
-
-    @F.pandas_udf("array<int>")
-    def reachable(vectors: pd.Series) -> pd.Series:
-        """Cells that may hold one of the ``k`` nearest: lower bound within the k-th upper bound."""
-        cosines = np.clip(_unit(_stack(vectors)) @ anchors.T, -1.0, 1.0)
-        to_anchor = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * cosines))
-        upper = to_anchor + radii
-        out = []
-        for high, near in zip(upper, to_anchor):
-            order = np.argsort(high, kind="stable")
-            covered = np.cumsum(members[order])
-            at = np.searchsorted(covered, k)
-            bound = high[order[at]] if at < len(order) else np.inf
-            keep = (members > 0) & (near - radii <= bound + 1e-9)
-            out.append(np.flatnonzero(keep).astype("int32"))
-        return pd.Series(out)
-
-    routed = asked.withColumn("_cell", F.explode(reachable("embedding")))
-    found = _search_blocks(assigned.drop("_dist"), routed, k, ["_cell"], n_queries)
-    return _ranked(found, mapping, k)
+    assigned = entries.withColumn("_cell", nearest("embedding"))
+    return _ranked(_search_blocks(assigned, asked, k, [], salts, ["_cell"]), mapping, k)
+
+
+def _salt_rows(asked: DataFrame) -> int:
+    """Queries of one salt, by the dimensions of the first."""
+    first = asked.select(F.size("embedding")).head()
+    return max(1, QUERY_VALUES // max(1, first[0])) if first is not None else QUERY_ROWS
 
 
 def knn_lsh(
@@ -203,7 +261,8 @@ def knn_lsh(
 ) -> DataFrame:
     """Approximate neighbours: only entries sharing a random-hyperplane bucket are compared.
 
-    Every candidate of a bucket is compared, in the same bounded blocks as the exact search.
+    Every candidate of a bucket is compared, in the same bounded blocks as the exact search; a bucket is copied only
+    where its own queries need more than one block, so each vector is shuffled once a table.
     The default tables and bits are those whose recall is tested on the provided vectors.
     """
     entries, asked, mapping = _prepared(corpus, queries, k, [])
@@ -219,7 +278,8 @@ def knn_lsh(
     spread = lambda df: df.withColumn("_b", F.explode(buckets("embedding"))).select(
         *df.columns, F.col("_b.table").alias("_table"), F.col("_b.bucket").alias("_cell")
     )
-    found = _search_blocks(spread(entries), spread(asked), k, ["_table", "_cell"], queries.count())
+    salts = F.ceil(F.col("_n") / F.lit(max(1, QUERY_VALUES // dims))).cast("int")
+    found = _search_blocks(spread(entries), spread(asked), k, ["_table", "_cell"], salts)
     once = found.groupBy("query_id", "entry_id").agg(F.min("distance").alias("distance"))
     return _ranked(once, mapping, k)
 
