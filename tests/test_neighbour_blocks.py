@@ -54,3 +54,11 @@ def test_one_list_comes_out_for_each_query(spark):
     found = N._search_blocks(entries, asked, 4, [], 5)
     assert found.groupBy("query_id").count().where("count <> 4").count() == 0 and found.count() == 2_400
     assert rows(found.groupBy(F.spark_partition_id()).count().agg(F.count(F.lit(1)))) == [(5,)]
+
+
+def test_entries_are_not_copied_for_queries_of_other_buckets(spark):
+    """9,000 queries in 16 buckets of each table: one block a bucket does, whatever the number of all queries."""
+    q, e = lsh_inputs(spark, 9_000)
+    found = N.knn_lsh(q, e, 2, dims=6, tables=3, bits=4)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salts" in plan and "sequence(0, 2" not in plan and "CoGroup" not in plan
